@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, quality_crf, toxicity_nb
+from . import hypergeometric_shards, jaccard_join, language_id, media_mpeg, packing, quality_crf, secret_owners, toxicity_nb
 
 QUERIES = {
     "op2_quality_crf": quality_crf.query,
     "op3_language_hierarchy": language_id.query,
+    "op4_secret_owners": secret_owners.query,
+    "op5_mpeg_audio": media_mpeg.query,
+    "op6_best_fit_packing": packing.query,
+    "op7_hypergeometric_shards": hypergeometric_shards.query,
     "op9_toxicity_nb": toxicity_nb.query,
     "op10_ngram_jaccard": jaccard_join.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_secret_owners": secret_owners.ORACLE_SQL}
