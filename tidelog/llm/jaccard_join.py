@@ -203,7 +203,8 @@ def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRES
         packed = pa.array([np.unique(sets[to[i] : to[i + 1]]).tobytes() for i in range(len(t))], pa.binary())
         return pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in names] + [packed], names=[*names, "shingles"]).filter(keep)
 
-    chosen = ids_and_texts(docs).join(member, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key", *names)
+    # members grow with the corpus: always shuffled, never broadcast
+    chosen = ids_and_texts(docs).join(member.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key", *names)
     sets = map_batches(chosen, with_sets, "root long, node long, copies long, blocks int, block int, shingles binary")
     # a block meets every block of its component, itself included
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
