@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import jaccard_join, quality_crf
+from tidelog.llm import decontaminate, jaccard_join, packing, quality_crf, secret_owners
 from tidelog.llm.common import written
 
 
@@ -18,7 +18,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.keep_one(spark, docs, sf_dir)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that repeat a benchmark item."""
+    return decontaminate.keep_clean(spark, docs, sf_dir)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks live secrets in the texts; every document stays."""
+    return secret_owners.redact(spark, docs, sf_dir)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into training sequences."""
+    return packing.pack_stage(spark, docs, sf_dir)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", sequences),
+]
 #: The stages train models and compare sets; SQL cannot express them.
 ORACLE_SQL = None
 
