@@ -34,7 +34,7 @@ def gram_rows(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.
         cp, _ = folded([t])
         index = np.concatenate([gram_index(cp, k, bits) for k in orders])
         u, n = np.unique(index, return_counts=True)
-        columns.append(u.astype(np.int64))
-        values.append(n / max(1, len(index)))
+        columns.append(u.astype(np.int32))
+        values.append((n / max(1, len(index))).astype(np.float32))
         at.append(at[-1] + len(u))
     return np.concatenate(columns), np.concatenate(values), np.array(at, dtype=np.int64)

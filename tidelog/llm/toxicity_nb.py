@@ -23,8 +23,8 @@ from .linear_chars import gram_rows
 from .textvec import _word_hashes_of, folded, gram_index, pieces
 from .training import Rows, fit_linear, labelled_sample
 
-TRAIN_PER_CLASS = 2000
-TRAIN_CHARS = 50_000
+TRAIN_PER_CLASS = 600
+TRAIN_CHARS = 20_000
 ORDERS = (3, 4, 5)
 BITS = 18
 THRESHOLD = 0.5

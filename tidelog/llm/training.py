@@ -50,8 +50,8 @@ class Rows:
     """Sparse rows (CSR) with the two products that a linear solver needs."""
 
     def __init__(self, columns: np.ndarray, values: np.ndarray, at: np.ndarray, width: int):
-        self.columns, self.values, self.at, self.width = columns, values.astype(np.float64), at, width
-        self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.columns, self.values, self.at, self.width = columns.astype(np.int32), values.astype(np.float32), at, width
+        self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.values * w[self.columns], minlength=len(self.at) - 1)
