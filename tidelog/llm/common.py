@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that a Python step gets; texts may be long.
-BATCH_ROWS = 512
+#: Rows of one Arrow batch that a Python step gets at most; texts may be long.
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,16 +46,22 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over df's Arrow batches, cut to BATCH_ROWS rows and 8 MB of data."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session, which bounds what a task
+    holds outside the heap and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+    """fn over df's Arrow batches."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            step = whole.num_rows if whole.nbytes <= 8 << 20 else max(1, whole.num_rows * (8 << 20) // whole.nbytes)
-            for a in range(0, whole.num_rows, max(1, min(step, BATCH_ROWS * 8))):
-                out = fn(whole.slice(a, max(1, min(step, BATCH_ROWS * 8))))
-                if out is not None:
-                    yield out
+        for batch in batches:
+            if batch.num_rows and (out := fn(batch)) is not None:
+                yield out
 
     return df.mapInArrow(run, schema)
 

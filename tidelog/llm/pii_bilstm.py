@@ -363,8 +363,8 @@ def all_spans(texts: list[str | None], p: dict | None) -> list[tuple[list, list]
     look = [i for i, t in enumerate(plain) if _DIGIT.search(t) or "@" in t] if p is not None else []
     found: dict[int, list] = {}
     size, group = 0, []
-    for i in [*look, None]:  # about a million characters at a time
-        if group and (i is None or size > 1 << 20):
+    for i in [*look, None]:  # a part of the batch at a time
+        if group and (i is None or size > 1 << 18):
             found |= dict(zip(group, model_spans([plain[j] for j in group], p), strict=True))
             group, size = [], 0
         if i is not None:

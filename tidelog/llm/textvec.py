@@ -17,7 +17,7 @@ _BMP = 0x10000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _POLY = 0x100000001B3
 #: Characters that one vectorised step works on; bounds a worker's memory.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -82,7 +82,7 @@ def _word_hashes_of(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    size = 1 << max(21, int(len(cp)).bit_length())
+    size = 1 << max(19, int(len(cp)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(cp) + 1, dtype=np.uint64)
     np.cumsum((lower[cp].astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=sums[1:])

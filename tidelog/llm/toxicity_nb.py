@@ -30,7 +30,7 @@ BITS = 18
 THRESHOLD = 0.5
 WINDOW = 256
 #: A multiple of half a window, less one for the space before a text.
-PIECE = (1 << 20) - 1
+PIECE = (1 << 18) - 1
 SCALE = 100.0
 
 
