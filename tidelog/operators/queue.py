@@ -86,7 +86,7 @@ def after_failure(state: DataFrame, failed: Column, now_ms: int, max_redeliverie
     n = F.when(failed, F.col("redelivery") + 1).otherwise(F.col("redelivery"))
     outcome = F.when(~failed, F.lit(None)).when(n > max_redeliveries, F.lit("dead_letter")).when(F.lit(backoff is not None), F.lit("backoff")).otherwise(F.lit("redeliver"))
     wait = backoff if backoff is not None else F.lit(0)
-    out = state.withColumn("redelivery", n).withColumn("outcome", outcome)
+    out = state.withColumns({"redelivery": n, "outcome": outcome})
     return out.withColumn("retry_ms", F.when(F.col("outcome") == "backoff", F.lit(now_ms) + wait).when(F.col("outcome") == "redeliver", F.lit(now_ms)))
 
 

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-LOG = _struct("key STRING, value BINARY, seq BIGINT, is_tombstone BOOLEAN")
-SERIES = _struct("series_id BIGINT, ts BIGINT, seq BIGINT, value DOUBLE")
-WATERMARK = _struct("series_id BIGINT, trimmed_until BIGINT")
-KV = _struct("key BIGINT, value STRING, expiry BIGINT, seq BIGINT, is_tombstone BOOLEAN")
-HASH = _struct("domain BIGINT, field STRING, value STRING, seq BIGINT")
-SET = _struct("domain BIGINT, member STRING, seq BIGINT")
-ZSET = _struct("domain BIGINT, member STRING, score DOUBLE, seq BIGINT")
-QUEUE = _struct("seq BIGINT, payload BINARY, due_ts BIGINT, producer_id BIGINT, producer_seq BIGINT")
-GROUP_STATE = _struct("`group` STRING, seq BIGINT, consumer STRING, deliver_ms BIGINT, redelivery INT, epoch BIGINT, acked BOOLEAN")
-DEAD_LETTER = _struct("source_seq BIGINT, `group` STRING, final_count INT, payload BINARY")
-WAL = _struct("idx BIGINT, payload BINARY, is_meta BOOLEAN")
-BLOB = _struct("object_id BIGINT, length BIGINT, created BIGINT, state TINYINT, content BINARY")
-BLOB_CHUNK = _struct("object_id BIGINT, chunk INT, data BINARY, crc BIGINT")
-CHANGE = _struct("key BIGINT, kind STRING, seq BIGINT")
-HLC = _struct("physical BIGINT, logical BIGINT")
+_TYPES = {"STRING": T.StringType, "BINARY": T.BinaryType, "BIGINT": T.LongType, "INT": T.IntegerType, "TINYINT": T.ByteType, "DOUBLE": T.DoubleType, "BOOLEAN": T.BooleanType}
+
+
+def struct(text: str) -> T.StructType:
+    """A flat schema from "name TYPE, ..."; unlike fromDDL it needs no session."""
+    pairs = (part.split() for part in text.split(","))
+    return T.StructType([T.StructField(name.strip("`"), _TYPES[kind.upper()]()) for name, kind in pairs])
+
+
+LOG = struct("key STRING, value BINARY, seq BIGINT, is_tombstone BOOLEAN")
+SERIES = struct("series_id BIGINT, ts BIGINT, seq BIGINT, value DOUBLE")
+WATERMARK = struct("series_id BIGINT, trimmed_until BIGINT")
+KV = struct("key BIGINT, value STRING, expiry BIGINT, seq BIGINT, is_tombstone BOOLEAN")
+HASH = struct("domain BIGINT, field STRING, value STRING, seq BIGINT")
+SET = struct("domain BIGINT, member STRING, seq BIGINT")
+ZSET = struct("domain BIGINT, member STRING, score DOUBLE, seq BIGINT")
+QUEUE = struct("seq BIGINT, payload BINARY, due_ts BIGINT, producer_id BIGINT, producer_seq BIGINT")
+GROUP_STATE = struct("`group` STRING, seq BIGINT, consumer STRING, deliver_ms BIGINT, redelivery INT, epoch BIGINT, acked BOOLEAN")
+DEAD_LETTER = struct("source_seq BIGINT, `group` STRING, final_count INT, payload BINARY")
+WAL = struct("idx BIGINT, payload BINARY, is_meta BOOLEAN")
+BLOB = struct("object_id BIGINT, length BIGINT, created BIGINT, state TINYINT, content BINARY")
+BLOB_CHUNK = struct("object_id BIGINT, chunk INT, data BINARY, crc BIGINT")
+CHANGE = struct("key BIGINT, kind STRING, seq BIGINT")
+HLC = struct("physical BIGINT, logical BIGINT")
 
 
 def kv_schema(key: T.DataType, value: T.DataType) -> T.StructType:
