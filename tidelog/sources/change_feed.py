@@ -1,8 +1,7 @@
 """A Python data source: the version log as a resumable feed whose offsets are addresses.
 
 ``spark.dataSource.register(ChangeFeed)``, then ``spark.readStream.format("tidelog_changes")``
-with options ``path`` (Parquet log), ``after`` (address, exclusive) and ``batch`` (records a
-micro-batch at most).  Each file is a partition; row-group statistics skip what lies
+with options ``path`` (Parquet log) and ``after`` (address, exclusive).  Each file is a partition; row-group statistics skip what lies
 outside the offsets.  The path must be one that pyarrow reads; for other stores use
 ``tidelog.streaming.feeds.changes``, which needs only Spark.
 """
@@ -34,13 +33,13 @@ def _rows(part: FilePart) -> Iterator[tuple]:
             yield k, "delete" if dead else "put", seq
 
 
-def _addresses(path: str, after: int, n: int | None) -> int:
-    """The last address of the next n records above ``after``; of all, if n is None."""
+def _last_address(path: str, after: int) -> int:
+    """The log's last address, from the statistics in its files' footers."""
     import pyarrow.compute as pc
     import pyarrow.dataset as ds
     import pyarrow.parquet as pq
 
-    last, above = after, []
+    last = after
     for f in _files(path):
         meta = pq.ParquetFile(f).metadata
         at = meta.schema.names.index("seq")
@@ -48,15 +47,9 @@ def _addresses(path: str, after: int, n: int | None) -> int:
             s = meta.row_group(g).column(at).statistics
             if s is not None and s.has_min_max:
                 last = max(last, s.max)
-                if n is not None and s.max > after:
-                    above.append(f)
             elif meta.row_group(g).num_rows:
                 last = max(last, pc.max(ds.dataset(f).to_table(columns=["seq"])["seq"]).as_py())
-                above.append(f)
-    if n is None or not above:
-        return last
-    seqs = ds.dataset(sorted(set(above)), format="parquet").to_table(columns=["seq"], filter=ds.field("seq") > after)["seq"]
-    return pc.max(seqs.take(pc.select_k_unstable(seqs, n, [("", "ascending")]))).as_py() if len(seqs) > n else last
+    return last
 
 
 class _Batch(DataSourceReader):
@@ -73,18 +66,14 @@ class _Batch(DataSourceReader):
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.after = options["path"], int(options.get("after", 0))
-        self.batch = int(options["batch"]) if "batch" in options else None
-        self.last = self.after
 
     def initialOffset(self) -> dict:
         return {"seq": self.after}
 
     def latestOffset(self) -> dict:
-        self.last = _addresses(self.path, self.last, self.batch)
-        return {"seq": self.last}
+        return {"seq": _last_address(self.path, self.after)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.last = max(self.last, end["seq"])
         return [FilePart(f, start["seq"], end["seq"]) for f in _files(self.path)]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
