@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, read_table, written
+from .common import fresh, map_batches, read_table, written
 
 SHARDS = 8
 #: Rows that one bucket of a shard's second permutation holds, on average.
@@ -70,38 +71,37 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """df with ``shard`` and ``slot`` (from 0 without gaps in each shard); all columns stay."""
-    names = df.columns
+    names = [c for c in df.columns if c.lower() not in ("shard", "slot")]  # given anew
+    df = df.select(*names)
     kinds = df.schema.fields
-    placed = written(df.withColumn("_at", F.monotonically_increasing_id()), "dealt")
-    part = F.shiftright("_at", 33)
+    at, key, bucket, low, size = fresh(df, "_at", "_key", "_bucket", "_first", "_size")
+    placed = written(df.withColumn(at, F.monotonically_increasing_id()), "dealt")
+    part = F.shiftright(at, 33)
     counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
     rows = np.array([n for _, n in counts], dtype=np.int64)
     sent = df.sparkSession.sparkContext.broadcast(({p: i for i, (p, _) in enumerate(counts)}, communication_matrix(rows, shards, seed)))
     buckets = max(1, int(rows.sum()) // shards // BUCKET_ROWS)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.column(batch.schema.get_field_index("_at")).to_numpy()
-        who, pos = at >> 33, at & ((1 << 33) - 1)
-        out, key = np.zeros(len(at), dtype=np.int32), np.zeros(len(at), dtype=np.int64)
+        place = batch.column(batch.schema.get_field_index(at)).to_numpy()
+        who, pos = place >> 33, place & ((1 << 33) - 1)
+        out, keys = np.zeros(len(place), dtype=np.int32), np.zeros(len(place), dtype=np.int64)
         where, matrix = sent.value
         for p in np.unique(who):
             mine = who == p
             line = matrix[where[p]]
             rng = np.random.default_rng((seed, int(p)))
             out[mine] = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), line))[pos[mine]]
-            key[mine] = rng.integers(0, 1 << 62, int(line.sum()))[pos[mine]]
-        return batch.append_column("shard", pa.array(out)).append_column("_key", pa.array(key))
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kinds, T.StructField("_at", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_key", T.LongType())])
-    exchanged = map_batches(placed, deal, schema).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
-    exchanged = written(exchanged, "exchanged")
-    sizes = exchanged.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("shard", "_bucket", first.alias("_first"))
-    inside = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_key", "_at")) - 1
-    return exchanged.join(offsets, ["shard", "_bucket"]).withColumn("slot", F.col("_first") + inside).select(*names, "shard", "slot")
+            keys[mine] = rng.integers(0, 1 << 62, int(line.sum()))[pos[mine]]
+        return batch.append_column("shard", pa.array(out)).append_column(key, pa.array(keys))
+
+    schema = T.StructType([*kinds, T.StructField(at, T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField(key, T.LongType())])
+    exchanged = written(map_batches(placed, deal, schema).withColumn(bucket, F.pmod(key, F.lit(buckets))), "exchanged")
+    sizes = exchanged.groupBy("shard", bucket).agg(F.count("*").alias(size))
+    first = F.coalesce(F.sum(size).over(W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("shard", bucket, first.alias(low))
+    inside = F.row_number().over(W.partitionBy("shard", bucket).orderBy(key, at)) - 1
+    return exchanged.join(offsets, ["shard", bucket]).withColumn("slot", F.col(low) + inside).select(*names, "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_and_texts, map_batches, read_table, texts_of, written
+from .common import fresh, ids_and_texts, map_batches, read_table, texts_of, written
 from .components import connected_components
 from .textvec import mix, shingles, word_hashes
 
@@ -247,15 +247,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id (of repeated rows one; of a
     group whose ids are all null, one).  All columns stay."""
     info, _ = classes_and_rows(docs)
-    named = lambda key, doc_id: F.concat(key, F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"))
-    kept = info.where("keeper").select(named(F.col("key"), F.col("copy_class")).alias("_row"))
-    columns = docs.columns
+    key, row, n = fresh(docs, "_key", "_row", "_n")
+    named = lambda k, doc_id: F.concat(k, F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"))
+    kept = info.where("keeper").select(named(F.col("key"), F.col("copy_class")).alias(row))
 
     def with_key(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts_of(batch)
-        return batch.append_column("_key", pa.array(class_keys(t, *word_hashes(t)), pa.binary()))
+        return batch.append_column(key, pa.array(class_keys(t, *word_hashes(t)), pa.binary()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())])
-    keyed = map_batches(docs, with_key, schema).withColumn("_row", named(F.col("_key"), F.col("doc_id")))
-    once = keyed.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
-    return once.where("_n = 1").select(columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+    keyed = map_batches(docs, with_key, schema).withColumn(row, named(F.col(key), F.col("doc_id")))
+    once = keyed.join(kept, row, "left_semi").withColumn(n, F.row_number().over(W.partitionBy(row).orderBy(row)))
+    return once.where(F.col(n) == 1).select(docs.columns)

@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ids_and_texts, map_batches, read_table, texts_of, written
+from .common import fresh, ids_and_texts, map_batches, read_table, texts_of, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -141,8 +142,11 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a table with a ``length`` column (1 to capacity)."""
     spark = found.sparkSession
-    names = found.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    names = [c for c in found.columns if c.lower() not in ("sequence_id", "offset")]  # given anew
+    found = found.select(*names)
+    kinds = found.schema.fields
+    _part, _rank, _before = fresh(found, "_part", "_rank", "_before")
+    long = lambda *new: T.StructType([*kinds, *(T.StructField(c, T.LongType()) for c in new)])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
@@ -152,27 +156,27 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             rank = np.zeros(len(own), dtype=np.int64)
             rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order]) + seen[own[order]]
             seen += np.bincount(own, minlength=capacity + 1)
-            yield batch.append_column("_part", pa.array(np.full(len(own), part, dtype=np.int64))).append_column("_rank", pa.array(rank))
+            yield batch.append_column(_part, pa.array(np.full(len(own), part, dtype=np.int64))).append_column(_rank, pa.array(rank))
 
-    placed = written(found.mapInArrow(ranked, f"{kinds}, _part long, _rank long"), "pieces")
-    by = placed.groupBy("_part", "length").agg(F.count("*").alias("n"))
+    placed = written(found.mapInArrow(ranked, long(_part, _rank)), "pieces")
+    by = placed.groupBy(_part, "length").agg(F.count("*").alias("n"))
     tally = np.zeros(capacity + 1, dtype=np.int64)
     for row in by.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         tally[row["length"]] = row["n"]
     sent = spark.sparkContext.broadcast(plan(tally, capacity))
-    earlier = F.sum("n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    before = by.select("_part", "length", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    earlier = F.sum("n").over(W.partitionBy("length").orderBy(_part).rowsBetween(W.unboundedPreceding, -1))
+    before = by.select(_part, "length", F.coalesce(earlier, F.lit(0)).alias(_before))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = sent.value
-        length, first, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "_before", "_rank"))
+        length, first, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", _before, _rank))
         rank = rank + first
         hit = t[np.searchsorted(t[:, 0] << 44 | t[:, 1], length << 44 | rank, side="right") - 1]
         inside = rank - hit[:, 1]
         seq, off = hit[:, 3] + inside // hit[:, 4], hit[:, 5] + inside % hit[:, 4] * length
         return pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return map_batches(placed.join(before, ["_part", "length"]), run, f"{kinds}, sequence_id long, offset long")
+    return map_batches(placed.join(before, [_part, "length"]), run, long("sequence_id", "offset"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import fresh, read_table, written
 
 EXAMPLE_OWNERS = 3
 MASK = "[secret]"
@@ -126,20 +126,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every live secret masked; all columns and rows stay."""
+    """docs with every live secret masked (and ``n_chars``, if there is one, as it then is);
+    all columns and rows stay."""
     _, judged = spans(docs)
     by = W.partitionBy("k").orderBy("start", "end")
-    fresh = F.col("start") >= F.coalesce(F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = judged.where("live").select("k", "start", "end", F.when(fresh, 1).otherwise(0).alias("new"))
+    apart = F.col("start") >= F.coalesce(F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = judged.where("live").select("k", "start", "end", F.when(apart, 1).otherwise(0).alias("new"))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     cuts = runs.groupBy("k", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = cuts.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    keyed = docs.withColumn("_k", _row_key(docs))
-    joined = keyed.join(cuts.withColumnRenamed("k", "_k"), "_k", "left")
-    n = F.size("_cuts")
-    between = lambda i: F.substring("text", F.when(i == 0, 0).otherwise(F.col("_cuts")[i - 1]["end"]) + 1, F.when(i == n, F.length("text")).otherwise(F.col("_cuts")[i]["start"]) - F.when(i == 0, 0).otherwise(F.col("_cuts")[i - 1]["end"]))
+    k, cut = fresh(docs, "_k", "_cuts")
+    cuts = cuts.groupBy(F.col("k").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    joined = docs.withColumn(k, _row_key(docs)).join(cuts, k, "left")
+    n, spot = F.size(cut), F.col(cut)
+    begin = lambda i: F.when(i == 0, 0).otherwise(spot[i - 1]["end"])
+    between = lambda i: F.substring("text", begin(i) + 1, F.when(i == n, F.length("text")).otherwise(spot[i]["start"]) - begin(i))
     masked = F.array_join(F.transform(F.sequence(F.lit(0), n), between), MASK)
-    return joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), masked).otherwise(F.col("text"))).select(docs.columns)
+    out = joined.withColumn("text", F.when(spot.isNotNull(), masked).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(spot.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def _sql() -> str:

@@ -25,13 +25,16 @@ from .training import Rows, fit_linear, labelled_sample
 
 TRAIN_PER_CLASS = 600
 TRAIN_CHARS = 20_000
-ORDERS = (3, 4, 5)
-BITS = 18
+ORDERS = (4, 6, 8)
+BITS = 19
 THRESHOLD = 0.5
 WINDOW = 256
 #: A multiple of half a window, less one for the space before a text.
 PIECE = (1 << 18) - 1
 SCALE = 100.0
+FOLDS = 3
+#: How far the rarity of toxic documents lowers the scores, 0 to 1.
+PRIOR_WEIGHT = 0.25
 
 
 def _gram_values(cp: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -97,27 +100,37 @@ def window_statistics(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     return np.stack([first / WINDOW, second / WINDOW, total / np.maximum(count, 1)], axis=1)
 
 
-def fit(sample: list[tuple[str, str]]) -> dict | None:
+def fit(sample: list[tuple[str, str]], share: float = 0.5) -> dict | None:
+    """share: of toxic documents among all labelled ones; the sample holds both alike."""
     if len({label for _, label in sample}) < 2:
         return None
     columns, means, at = gram_rows([t for t, _ in sample], ORDERS, BITS)
     y = np.array([1.0 if label == "1" else -1.0 for _, label in sample])
-    row = np.repeat(np.arange(len(y)), np.diff(at))
-    seen = [np.bincount(columns[(y == c)[row]], minlength=1 << BITS) + 1.0 for c in (1.0, -1.0)]
-    ratio = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
-    x = Rows(columns, means * ratio[columns] * SCALE, at, 1 << BITS)
-    even = np.arange(len(y)) % 2 == 0
-    if len(set(y[even])) < 2 or len(set(y[~even])) < 2:
-        even = np.ones(len(y), dtype=bool)
-    w, _ = fit_linear(x.take(np.flatnonzero(even)), y[even], 1e-3)
-    table = (w * ratio * SCALE).astype(np.float32)
-    # how the windows' weights add up to a document's score, fitted on the other half
-    other = np.flatnonzero(~even) if not even.all() else np.arange(len(y))
-    z = window_statistics([sample[i][0] for i in other], table)
+
+    def table_of(some: np.ndarray) -> np.ndarray:
+        """Weights of n-grams: naive Bayes ratio times fitted weight."""
+        x = Rows(columns, means, at, 1 << BITS).take(some)
+        seen = [np.bincount(x.columns[(y[some] == c)[x.row]], minlength=1 << BITS) + 1.0 for c in (1.0, -1.0)]
+        ratio = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
+        x.values = (x.values * ratio[x.columns] * SCALE).astype(np.float32)
+        w, _ = fit_linear(x, y[some], 1e-3)
+        return (w * ratio * SCALE).astype(np.float32)
+
+    # how windows' weights add up to a document's score: fitted on texts that the weights
+    # have not seen, fold by fold
+    rank = np.zeros(len(y), dtype=np.int64)
+    for c in (1.0, -1.0):
+        rank[y == c] = np.arange((y == c).sum())
+    z = np.zeros((len(y), 3))
+    for k in range(FOLDS):
+        out = np.flatnonzero(rank % FOLDS == k)
+        rest = np.flatnonzero(rank % FOLDS != k)
+        if len(out) and len(set(y[rest])) == 2:
+            z[out] = window_statistics([sample[i][0] for i in out], table_of(rest))
     mid, spread = z.mean(axis=0), z.std(axis=0) + 1e-9
     top = Rows(np.tile(np.arange(3), len(z)), ((z - mid) / spread).ravel(), np.arange(len(z) + 1) * 3, 3)
-    v, b = fit_linear(top, y[other], 1e-4)
-    return {"table": table, "v": v / spread, "b": b - float((v / spread) @ mid)}
+    v, b = fit_linear(top, y, 1e-4)
+    return {"table": table_of(np.arange(len(y))), "v": v / spread, "b": b - float((v / spread) @ mid) + PRIOR_WEIGHT * float(np.log(share / (1 - share)))}
 
 
 def document_scores(texts: list[str | None], model: dict | None) -> np.ndarray:
@@ -128,7 +141,9 @@ def document_scores(texts: list[str | None], model: dict | None) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return fit(labelled_sample(docs, labels, "toxic", 5, 0, TRAIN_PER_CLASS, TRAIN_CHARS))
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)).agg(F.avg("toxic").alias("share")).first()["share"]
+    share = min(0.99, max(0.01, known if known is not None else 0.5))
+    return fit(labelled_sample(docs, labels, "toxic", 5, 0, TRAIN_PER_CLASS, TRAIN_CHARS), share)
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
