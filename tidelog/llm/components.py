@@ -15,7 +15,12 @@ def connected_components(links: DataFrame, name: str, rounds: int = 60) -> DataF
     steps are aggregations with partial sums and joins that adaptive execution can
     split; each round is written, and only a row count and a hash reach the driver."""
     pairs = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), f"{name}-links")
-    state = None
+
+    def mark(df: DataFrame) -> tuple:
+        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return row["n"], row["h"]
+
+    state = mark(pairs)
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -23,8 +28,7 @@ def connected_components(links: DataFrame, name: str, rounds: int = 60) -> DataF
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         pairs = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
-        row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        now = (row["n"], row["h"])
+        now = mark(pairs)
         if now == state:
             break
         state = now

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ids_and_texts, map_batches, read_table, texts_of, written
+from .common import fresh, ids_and_texts, map_batches, read_table, small_batches, texts_of, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,9 +67,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, [*starts[1:], n], strict=True)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
-
+def _pieces_of(capacity: int, path: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
         rows: list[tuple] = []
@@ -81,7 +79,39 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFra
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(ids_and_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return run
+
+
+_PIECES = T.StructType([T.StructField(c, T.IntegerType() if c == "piece" else T.LongType()) for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
+    return map_batches(ids_and_texts(docs), _pieces_of(capacity, path), _PIECES)
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], capacity: int, part_name: str, rank_name: str) -> Iterator[pa.RecordBatch]:
+    """Adds the task's number and, by length, the rank of each row in the task."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+    for batch in batches:
+        own = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        rank = np.zeros(len(own), dtype=np.int64)
+        rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order]) + seen[own[order]]
+        seen += np.bincount(own, minlength=capacity + 1)
+        yield batch.append_column(part_name, pa.array(np.full(len(own), part, dtype=np.int64))).append_column(rank_name, pa.array(rank))
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFrame:
+    """The pieces of all rows with their places; tokens and ranks come from one pass."""
+    small_batches(docs.sparkSession)
+    cut_up = _pieces_of(capacity, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _ranked((cut_up(b) for b in batches if b.num_rows), capacity, "_part", "_rank")
+
+    kinds = T.StructType([*_PIECES.fields, T.StructField("_part", T.LongType()), T.StructField("_rank", T.LongType())])
+    return _placed(written(ids_and_texts(docs).mapInArrow(run, kinds), "pieces"), _PIECES.names, "_part", "_rank", capacity)
 
 
 def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -141,47 +171,41 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a table with a ``length`` column (1 to capacity)."""
-    spark = found.sparkSession
     names = [c for c in found.columns if c.lower() not in ("sequence_id", "offset")]  # given anew
     found = found.select(*names)
-    kinds = found.schema.fields
-    _part, _rank, _before = fresh(found, "_part", "_rank", "_before")
-    long = lambda *new: T.StructType([*kinds, *(T.StructField(c, T.LongType()) for c in new)])
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64)
-            order = np.argsort(own, kind="stable")
-            rank = np.zeros(len(own), dtype=np.int64)
-            rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order]) + seen[own[order]]
-            seen += np.bincount(own, minlength=capacity + 1)
-            yield batch.append_column(_part, pa.array(np.full(len(own), part, dtype=np.int64))).append_column(_rank, pa.array(rank))
-
-    placed = written(found.mapInArrow(ranked, long(_part, _rank)), "pieces")
-    by = placed.groupBy(_part, "length").agg(F.count("*").alias("n"))
+    part, rank = fresh(found, "_part", "_rank")
+    kinds = T.StructType([*found.schema.fields, T.StructField(part, T.LongType()), T.StructField(rank, T.LongType())])
+    ranked = found.mapInArrow(lambda batches: _ranked(batches, capacity, part, rank), kinds)
+    return _placed(written(ranked, "pieces"), names, part, rank, capacity)
+
+
+def _placed(placed: DataFrame, names: list[str], part: str, rank: str, capacity: int) -> DataFrame:
+    """Looks up the places of written rows by length and rank."""
+    (before,) = fresh(placed, "_before")
+    by = placed.groupBy(part, "length").agg(F.count("*").alias(before))
     tally = np.zeros(capacity + 1, dtype=np.int64)
-    for row in by.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
+    for row in by.groupBy("length").agg(F.sum(before).alias("n")).collect():  # capacity rows at most
         tally[row["length"]] = row["n"]
-    sent = spark.sparkContext.broadcast(plan(tally, capacity))
-    earlier = F.sum("n").over(W.partitionBy("length").orderBy(_part).rowsBetween(W.unboundedPreceding, -1))
-    before = by.select(_part, "length", F.coalesce(earlier, F.lit(0)).alias(_before))
+    sent = placed.sparkSession.sparkContext.broadcast(plan(tally, capacity))
+    earlier = F.sum(before).over(W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    ranks = by.select(part, "length", F.coalesce(earlier, F.lit(0)).alias(before))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = sent.value
-        length, first, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", _before, _rank))
-        rank = rank + first
-        hit = t[np.searchsorted(t[:, 0] << 44 | t[:, 1], length << 44 | rank, side="right") - 1]
-        inside = rank - hit[:, 1]
+        length, first, place = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", before, rank))
+        place = place + first
+        hit = t[np.searchsorted(t[:, 0] << 44 | t[:, 1], length << 44 | place, side="right") - 1]
+        inside = place - hit[:, 1]
         seq, off = hit[:, 3] + inside // hit[:, 4], hit[:, 5] + inside % hit[:, 4] * length
         return pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return map_batches(placed.join(before, [_part, "length"]), run, long("sequence_id", "offset"))
+    kinds = T.StructType([*(placed.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return map_batches(placed.join(ranks, [part, "length"]), run, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(read_table(spark, sf_dir, "documents")))
+    return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(pieces(docs))
+    return pack_documents(docs)
