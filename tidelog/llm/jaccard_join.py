@@ -177,11 +177,14 @@ def keyed_rows(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return map_batches(ids_and_texts(docs), signed, "doc_id long, key binary, n long, bands array<long>")
 
 
-def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, keep_rows: bool = True) -> tuple[DataFrame, DataFrame]:
     """Classes (key, copy_class, copies, others, class_id, keeper) and rows (doc_id, key).
-    keeper marks the class of each group that holds its least doc_id."""
+    keeper marks the class of each group that holds its least doc_id.  Rows that are not
+    kept are not stored, and reading them would compute them again."""
     bands, rows = choose_bands(threshold, recall)
-    signed = written(keyed_rows(docs, size, bands, rows), "signed")
+    signed = keyed_rows(docs, size, bands, rows)
+    if keep_rows:
+        signed = written(signed, "signed")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     in_band = classes.where("n > 0").select("node", F.posexplode("bands").alias("band", "hash"))
@@ -246,7 +249,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id (of repeated rows one; of a
     group whose ids are all null, one).  All columns stay."""
-    info, _ = classes_and_rows(docs)
+    info, _ = classes_and_rows(docs, keep_rows=False)
     key, row, n = fresh(docs, "_key", "_row", "_n")
     named = lambda k, doc_id: F.concat(k, F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"))
     kept = info.where("keeper").select(named(F.col("key"), F.col("copy_class")).alias(row))

@@ -67,13 +67,17 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     owner = F.coalesce(F.col("source").cast("string"), F.lit("\x00none")) if "source" in docs.columns else F.lit("\x00none")
     kinds = list(PATTERNS)
-    scan = docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), *(_found(text, kind).alias(kind) for kind in kinds))
-    scan = written(scan, "secret-scan")
-    some = scan.where(" or ".join(f"{kind} is not null" for kind in kinds)).dropDuplicates(["k"])
-    parts = None
-    for rank, kind in enumerate(kinds):
-        one = some.where(F.col(kind).isNotNull()).select("k", "doc_id", "owner", F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "m"))
-        parts = one if parts is None else parts.unionByName(one)
+    # all kinds of a text in one array, so that the texts are read once
+    empty = F.array().cast("array<struct<rank:int,kind:string,pos:int,gap:int,size:int,value:string>>")
+
+    def tagged(rank: int, kind: str) -> Column:
+        item = lambda m, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("pos"), m["gap"].alias("gap"), m["size"].alias("size"), m["value"].alias("value"))
+        return F.coalesce(F.transform(_found(text, kind), item), empty)
+
+    each = [tagged(rank, kind) for rank, kind in enumerate(kinds)]
+    found = docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.explode(F.concat(*each)).alias("m"))
+    # repeated rows give the same matches once
+    parts = found.select("k", "doc_id", "owner", "m.rank", "m.kind", "m.pos", "m").dropDuplicates(["k", "rank", "pos"])
     run = W.partitionBy("k", "rank").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.col("m.size")).over(run)
     least = F.element_at(F.create_map(*(F.lit(x) for kind in kinds for x in (kind, PATTERNS[kind][2]))), F.col("kind"))
@@ -93,7 +97,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
     judged = at.join(spread, "hash").withColumn("live", F.col("random") & (F.col("owners") < EXAMPLE_OWNERS))
-    return scan.select("k", "doc_id"), judged.where("base or live").select("k", "rank", "kind", "start", "end", "base", "live", "owners", "repositories")
+    return docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id")), judged.where("base or live").select("k", "rank", "kind", "start", "end", "base", "live", "owners", "repositories")
 
 
 def _joined(items: Column) -> Column:
