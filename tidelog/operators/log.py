@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.session import settled
 from tidelog.timebase import expired
 
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def scan(log: DataFrame, begin: int | None = None, end: int | None = None) -> DataFrame:
     """Records of [begin, end), tombstones included, for the consumer to apply."""
@@ -52,7 +55,12 @@ def replay(log: DataFrame, start: int, folds: dict[str, Column], checksum: str |
 
 def newest(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The newest record of each key, whatever it is; partial aggregation keeps one
-    record a key and task before the shuffle."""
+    record a key and task before the shuffle.  Columns of fixed width are aggregated one by
+    one, which hashes instead of sorting; addresses are unique, so all come from one record."""
+    rest = [c for c in log.columns if c not in keys]
+    if all(isinstance(log.schema[c].dataType, FIXED_WIDTH) for c in rest):
+        picks = [F.max(order).alias(c) if c == order else F.max_by(c, order).alias(c) for c in rest]
+        return log.groupBy(*keys).agg(*picks).select(log.columns)
     row = F.max_by(F.struct(*log.columns), F.col(order))
     return log.groupBy(*keys).agg(row.alias("_r")).select("_r.*")
 
