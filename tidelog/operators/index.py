@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import fill_forward
+
 
 def find(index: DataFrame, keys: DataFrame) -> DataFrame:
     return index.join(keys.select("key").distinct(), "key")
@@ -29,26 +30,15 @@ def floor_one(index: DataFrame, key, strict: bool = False) -> DataFrame:
 
 
 def floor_many(index: DataFrame, probes: DataFrame, strict: bool = False, group: str | None = None) -> DataFrame:
-    """(probe, key, seq) for many probes at once, by one window over the merged keys.
-    Without a group, keys are dealt by range: each range's greatest key is carried into
-    those above, so no task sorts them all."""
+    """(probe, key, seq) for many probes at once: a forward fill over the merged keys, dealt
+    by range, so no task sorts them all."""
     side = (1, 0) if strict else (0, 1)
     a = index.select(*([group] if group else []), F.col("key").alias("k"), F.lit(side[0]).alias("side"), F.struct("key", "seq").alias("hit"), F.col("seq").alias("o"))
     b = probes.select(*([group] if group else []), F.col("probe").alias("k"), F.lit(side[1]).alias("side"), F.lit(None).cast(a.schema["hit"].dataType).alias("hit"), F.lit(None).cast("long").alias("o"))
     both = a.withColumn("is_probe", F.lit(False)).unionByName(b.withColumn("is_probe", F.lit(True)))
-    if group:
-        by = W.partitionBy(group).orderBy("k", "side", "o").rowsBetween(W.unboundedPreceding, 0)
-        out = both.withColumn("hit", F.last("hit", ignorenulls=True).over(by))
-        return out.where("is_probe").select(group, F.col("k").alias("probe"), "hit.key", "hit.seq")
-    from tidelog.session import settled
-
-    ranged = settled(both.repartitionByRange("k").withColumn("_p", F.spark_partition_id()), "floor")
-    tops = ranged.groupBy("_p").agg(F.max("hit").alias("top"))  # one row a range
-    carried = tops.select("_p", F.last("top", ignorenulls=True).over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
-    by = W.partitionBy("_p").orderBy("k", "side", "o").rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.withColumn("hit", F.last("hit", ignorenulls=True).over(by)).where("is_probe").join(F.broadcast(carried), "_p", "left")
-    hit = F.coalesce("hit", "carry")
-    return out.select(F.col("k").alias("probe"), hit["key"].alias("key"), hit["seq"].alias("seq"))
+    by = [group] if group else []
+    out = fill_forward(both.withColumnRenamed("hit", "given"), by, ["k", "side", "o"], "given", "hit")
+    return out.where("is_probe").select(*by, F.col("k").alias("probe"), "hit.key", "hit.seq")
 
 
 def top(items: DataFrame, k: int, *order) -> DataFrame:

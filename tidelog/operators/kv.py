@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.operators.log import as_of, current, dead_prefix, newest, superseded
+from tidelog.operators.ordered import running_sum
 from tidelog.timebase import expired, expiry_of
 
 __all__ = ["as_of", "current", "dead_prefix", "newest", "superseded"]
@@ -125,10 +127,11 @@ def read_with(view: DataFrame, **outputs: Column) -> DataFrame:
 # -- folds
 
 
-def increments(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """The value after every increment, in ``seq`` order; integer overflow is an error."""
-    from pyspark.sql import Window as W
-
+def increments(deltas: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
+    """The value after every increment, in ``seq`` order; integer overflow is an error.
+    ``spread`` deals keys that are too large for one task over ranges of addresses."""
+    if spread:
+        return running_sum(deltas, keys, ["seq"], F.col("delta"), "after")
     by = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     return deltas.withColumn("after", F.sum("delta").over(by))
 

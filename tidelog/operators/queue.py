@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import running_sum
+
 
 def resolve_due(messages: DataFrame, now: int, max_delay: int | None = None) -> DataFrame:
     """A due time that has passed means at once; one too far ahead is an error."""
@@ -165,8 +167,8 @@ def start_at(messages: DataFrame, where: str, address: int | None = None) -> Dat
 def within_backlog(messages: DataFrame, size: Column, limit: int, policy: str = "reject") -> DataFrame:
     """Messages with ``admitted`` under a bytes limit: ``reject`` turns away what would
     exceed it, in address order; ``evict`` lets the oldest go instead."""
-    order = W.orderBy("seq" if policy == "reject" else F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
-    return messages.withColumn("admitted", F.sum(size).over(order) <= limit)
+    order = [F.asc("seq") if policy == "reject" else F.desc("seq")]
+    return running_sum(messages, [], order, size, "_total").withColumn("admitted", F.col("_total") <= limit).drop("_total")
 
 
 def reconcile(index: DataFrame, log: DataFrame, begin: int, tail: int) -> DataFrame:

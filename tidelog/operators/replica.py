@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.numeric import normal_tail
+from tidelog.operators.ordered import running_sum
 from tidelog.timebase import floor_div
 
 
@@ -92,13 +93,14 @@ def hybrid_receive(messages: DataFrame) -> DataFrame:
     return messages.repartition("node").sortWithinPartitions("node", "seq").mapInPandas(run, schema)
 
 
-def allocate_ids(requests: DataFrame, n: Column) -> DataFrame:
+def allocate_ids(requests: DataFrame, n: Column, spread: bool = False) -> DataFrame:
     """(first_id, last_id) of contiguous blocks by key, in ``seq`` order, ids from 1; a
-    request for fewer than 1 is an error."""
+    request for fewer than 1 is an error.  ``spread`` deals hot keys over ranges."""
     bad = F.raise_error(F.lit("an id block needs a count of 1 or more")).cast("long")
     r = requests.withColumn("_n", F.when(n < 1, bad).otherwise(n.cast("long")))
     end = F.sum("_n").over(W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("last_id", end).withColumn("first_id", F.col("last_id") - F.col("_n") + 1).drop("_n")
+    ended = running_sum(r, ["key"], ["seq"], F.col("_n"), "last_id") if spread else r.withColumn("last_id", end)
+    return ended.withColumn("first_id", F.col("last_id") - F.col("_n") + 1).drop("_n")
 
 
 def poll(feed: DataFrame, watermark: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

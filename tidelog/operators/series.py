@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import fill_forward
 from tidelog.timebase import window_start
 
 
@@ -39,15 +40,17 @@ def extremes(samples: DataFrame) -> DataFrame:
     return samples.groupBy("series_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def floor(samples: DataFrame, probes: DataFrame, strict: bool = False) -> DataFrame:
+def floor(samples: DataFrame, probes: DataFrame, strict: bool = False, spread: bool = False) -> DataFrame:
     """For each probe (series_id, t, and any other columns) the last sample at or before t
     (before t, if strict); null if there is none.  A union and one window over (series,
-    time), so one shuffle and a sort instead of a range join."""
+    time), so one shuffle and a sort instead of a range join.  ``spread`` deals series that
+    are too large for one task over ranges of time."""
     others = [c for c in probes.columns if c not in ("series_id", "t")]
     left = samples.select("series_id", F.col("ts").alias("_t"), F.lit(1 if strict else 0).alias("_side"), "seq", F.struct("ts", "seq", "value").alias("_s"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in others))
     right = probes.select("series_id", F.col("t").alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(left.schema["_s"].dataType).alias("_s"), *others)
     by = W.partitionBy("series_id").orderBy("_t", "_side", "seq").rowsBetween(W.unboundedPreceding, 0)
-    filled = left.withColumn("_probe", F.lit(False)).unionByName(right.withColumn("_probe", F.lit(True))).withColumn("_hit", F.last("_s", ignorenulls=True).over(by))
+    both = left.withColumn("_probe", F.lit(False)).unionByName(right.withColumn("_probe", F.lit(True)))
+    filled = fill_forward(both, ["series_id"], ["_t", "_side", "seq"], "_s", "_hit") if spread else both.withColumn("_hit", F.last("_s", ignorenulls=True).over(by))
     return filled.where("_probe").select("series_id", F.col("_t").alias("t"), *others, F.col("_hit.ts").alias("ts"), F.col("_hit.seq").alias("seq"), F.col("_hit.value").alias("value"))
 
 

@@ -188,6 +188,14 @@ def ts_floor_asof(spark, d):
     return series.floor(s, probes)
 
 
+@query("DJ1", f"""WITH p AS (SELECT DISTINCT series_id, {BASE} + k * {DAY} AS t FROM s, (SELECT unnest([0, 3, 7, 12, 29, 60]) AS k))
+SELECT p.series_id, p.t, s.ts, s.seq, s.value FROM p ASOF LEFT JOIN s ON p.series_id = s.series_id AND p.t >= s.ts""")
+def ts_floor_spread(spark, d):
+    s = samples(spark, d)
+    probes = s.select("series_id").distinct().select("series_id", F.explode(F.array(*(F.lit(BASE + k * DAY) for k in (0, 3, 7, 12, 29, 60)))).alias("t"))
+    return series.floor(s, probes, spread=True)
+
+
 @query("DJ4 DJ5", """WITH p AS (SELECT series_id, max(ts) AS t FROM s GROUP BY series_id)
 SELECT p.series_id, p.t, s.ts, s.seq, s.value FROM p ASOF LEFT JOIN s ON p.series_id = s.series_id AND p.t > s.ts""")
 def ts_floor_strict(spark, d):
@@ -485,6 +493,12 @@ def hash_incr_running(spark, d):
     return kv.increments(deltas, ["key"]).select("key", "seq", "after")
 
 
+@query("E17", "SELECT user_id AS key, event_id AS seq, CAST(sum(event_id % 10) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS after FROM events")
+def hash_incr_spread(spark, d):
+    deltas = _read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 10).alias("delta"))
+    return kv.increments(deltas, ["key"], spread=True).select("key", "seq", "after")
+
+
 @query("E18", "SELECT user_id AS key, round(sum(value), 6) AS value FROM events GROUP BY user_id")
 def zset_incr_totals(spark, d):
     deltas = _read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("value").alias("delta"))
@@ -580,6 +594,11 @@ def zset_revrange(spark, d):
     return co.rank_range(zset(spark, d), 0, 2, reverse=True).select("domain", "member", "score", "rank")
 
 
+@query("F2", "SELECT domain, member, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, member DESC) - 1 AS r, count(*) OVER (PARTITION BY domain) AS n FROM z) WHERE r >= greatest(0, n - 3) AND r <= n - 2")
+def zset_revrange_spread(spark, d):
+    return co.rank_range(zset(spark, d), -3, -2, reverse=True, spread=True).select("domain", "member", "score", "rank")
+
+
 @query("G4 G6", "SELECT domain, member, score FROM z QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score, member) = 1")
 def zset_popmin(spark, d):
     return co.pop(zset(spark, d))[0].select("domain", "member", "score")
@@ -987,12 +1006,10 @@ def floor_division(spark, d):
     return _read(spark, d, "events").select("event_id", tb.floor_div(F.col("event_id") - 5000, 7).alias("q"))
 
 
-@query("I1 I2 I4 I5", "SELECT p_partkey, p_retailprice AS score, CAST(row_number() OVER (ORDER BY p_retailprice, p_partkey) AS INTEGER) AS place FROM part")
+@query("I1 I2 I4 I5", "SELECT p_partkey, p_retailprice AS score, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part")
 def score_codec(spark, d):
-    from pyspark.sql import Window as W
-
-    p = _read(spark, d, "part").withColumn("code", numeric.encode_score("p_retailprice"))
-    return p.select("p_partkey", numeric.decode_score("code").alias("score"), F.row_number().over(W.orderBy("code", "p_partkey")).alias("place"))
+    p = _read(spark, d, "part").select("p_partkey", numeric.encode_score("p_retailprice").alias("code"))
+    return log.dense_index(p, ["code", "p_partkey"], name="place").select("p_partkey", numeric.decode_score("code").alias("score"), "place")
 
 
 @query("I22", "SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM part")
