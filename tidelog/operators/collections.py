@@ -109,9 +109,11 @@ def rank_range(view: DataFrame, start: int, stop: int, reverse: bool = False, sp
         low = F.greatest(F.lit(0), F.lit(start) if start >= 0 else F.col("_n") + start)
         high = F.lit(stop) if stop >= 0 else F.col("_n") + stop
         return ranked.join(sizes, "domain").where((F.col("rank") >= low) & (F.col("rank") <= high)).drop("_n").select(*view.columns, "rank")
-    rank = F.row_number().over(W.partitionBy("domain").orderBy(*order)) - 1
-    if start >= 0 and stop >= 0:  # a plain limit on ranks lets the plan drop rows before the shuffle
-        return view.withColumn("rank", rank).where((F.col("rank") >= start) & (F.col("rank") <= stop))
+    number = F.row_number().over(W.partitionBy("domain").orderBy(*order))
+    if start >= 0 and stop >= 0:  # a plain limit on row numbers, so that tasks drop rows before the shuffle
+        few = view.withColumn("_r", number).where((F.col("_r") <= stop + 1) & (F.col("_r") > start))
+        return few.withColumn("rank", F.col("_r") - 1).drop("_r")
+    rank = number - 1
     n = F.count(F.lit(1)).over(W.partitionBy("domain"))
     low = F.greatest(F.lit(0), F.lit(start) if start >= 0 else F.col("_n") + start)
     high = F.lit(stop) if stop >= 0 else F.col("_n") + stop

@@ -79,8 +79,9 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "events").select(F.col("user_id").alias("series_id"), tb.ticks_of("ts").alias("ts"), F.col("event_id").alias("seq"), "value")
+def samples(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Events as samples; a range of ticks also becomes a filter of the scan."""
+    return _read(spark, d, "events").where(tb.stored_between("ts", start, end)).select(F.col("user_id").alias("series_id"), tb.ticks_of("ts").alias("ts"), F.col("event_id").alias("seq"), "value")
 
 
 def kv_log(spark: SparkSession, d: str) -> DataFrame:
@@ -160,12 +161,12 @@ def ts_rollup_cascade(spark, d):
 
 @query("E1 C1", f'SELECT series_id, ts - ts % {DAY} AS "window", CAST(count(*) AS DOUBLE) AS count FROM s WHERE ts >= {BASE + 5 * DAY} AND ts < {BASE + 20 * DAY} GROUP BY ALL')
 def ts_rollup_range(spark, d):
-    return series.rollup(samples(spark, d), DAY, BASE + 5 * DAY, BASE + 20 * DAY, ("count",))
+    return series.rollup(samples(spark, d, BASE + 5 * DAY, BASE + 20 * DAY), DAY, BASE + 5 * DAY, BASE + 20 * DAY, ("count",))
 
 
 @query("C1", f"SELECT series_id, ts, seq, value FROM s WHERE series_id = 3 AND ts >= {BASE} AND ts < {BASE + 15 * DAY}")
 def ts_range(spark, d):
-    return series.range_ordered(samples(spark, d), BASE, BASE + 15 * DAY, 3)
+    return series.range_ordered(samples(spark, d, BASE, BASE + 15 * DAY), BASE, BASE + 15 * DAY, 3)
 
 
 @query("C2 J1", f"SELECT series_id, ts, seq, value FROM s WHERE ts < {BASE + 25 * DAY} AND ts >= {BASE} + series_id % 10 * {DAY}")
@@ -225,7 +226,7 @@ def ts_series_ids(spark, d):
 
 @query("J3", f"SELECT series_id, ts, seq, value FROM s WHERE ts >= {BASE + 10 * DAY}")
 def ts_truncate(spark, d):
-    return series.truncate(samples(spark, d), BASE + 10 * DAY)[0]
+    return series.truncate(samples(spark, d, BASE + 10 * DAY), BASE + 10 * DAY)[0]
 
 
 @query("J3", f"SELECT count(*) AS deleted FROM s WHERE series_id = 3 AND ts < {BASE + 10 * DAY}")
@@ -241,7 +242,7 @@ def ts_raise_watermark(spark, d):
 
 @query("J5", f"SELECT series_id, ts, seq, value FROM s WHERE ts >= {BASE + 30 * DAY - 7 * DAY}")
 def ts_ttl_retention(spark, d):
-    return series.truncate(samples(spark, d), series.ttl_cutoff(BASE + 30 * DAY, 7 * DAY))[0]
+    return series.truncate(samples(spark, d, BASE + 23 * DAY), series.ttl_cutoff(BASE + 30 * DAY, 7 * DAY))[0]
 
 
 @query("J6", """WITH e AS (SELECT epoch_us(ts) * 10 + 621355968000000000 AS ts, event_id AS seq, length(props) AS b FROM events),
