@@ -53,6 +53,14 @@ def test_rollup_out_of_order_and_guards(spark):
     assert series.rollup(s, W, 5, 5).count() == 0
 
 
+def test_rollup_target_appends_or_replaces(spark, tmp_path):
+    s = series_of(spark, [(i * W, i) for i in range(3)])
+    out = series.rollup(s, W, aggregates=("sum",))
+    at = str(tmp_path / "t")
+    assert [series.write_rollup(out, "sum", at, m) for m in ("append", "append", "replace")] == [3, 3, 3]
+    assert spark.read.parquet(at).count() == 3
+
+
 def test_rollup_nan_decides_minimum(spark):
     r = series.rollup(series_of(spark, [(0, 1), (1, math.nan), (2, -1)]), W).first()
     assert math.isnan(r["min"]) and math.isnan(r["max"])

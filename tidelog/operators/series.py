@@ -6,7 +6,7 @@ are all kept, in write order.  Ranges are [from, to).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,8 +95,10 @@ def as_series(rolled: DataFrame, aggregate: str) -> DataFrame:
 
 def write_rollup(rolled: DataFrame, aggregate: str, path: str, mode: str = "append") -> int:
     """Appends (repeats if run again) or replaces the target; returns the windows."""
-    as_series(rolled, aggregate).write.mode("overwrite" if mode == "replace" else "append").parquet(path)
-    return rolled.count()
+    seen = Observation()
+    rows = as_series(rolled, aggregate).observe(seen, F.count(F.lit(1)).alias("windows"))
+    rows.write.mode("overwrite" if mode == "replace" else "append").parquet(path)
+    return seen.get["windows"]
 
 
 def stats(samples: DataFrame, trimmed: DataFrame | None = None) -> DataFrame:
