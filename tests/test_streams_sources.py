@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import time
 
 import pytest
 
@@ -11,6 +13,15 @@ from tidelog.sources import change_feed, files
 from tidelog.streaming import feeds, queue_processor
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful stream opens a store; two are enough here."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def run(df, path, sink="out", mode="append", **options):
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/ck-{sink}").trigger(availableNow=True)
     q = w.options(**options).format("parquet").option("path", f"{path}/{sink}").start()
@@ -18,6 +29,20 @@ def run(df, path, sink="out", mode="append", **options):
     assert q.exception() is None
 
 
+def run_until(df, path, rows):
+    """A query whose timers keep it alive: stopped once so many rows are out."""
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/ck").format("parquet").option("path", f"{path}/out").start()
+    try:
+        for _ in range(120):
+            assert q.exception() is None
+            if glob.glob(f"{path}/out/_spark_metadata/*") and df.sparkSession.read.parquet(f"{path}/out").count() >= rows:
+                return
+            time.sleep(0.5)
+        raise AssertionError("the rows did not come")
+    finally:
+        q.stop()
+
+
 LOG = "key long, is_tombstone boolean, seq long"
 
 
@@ -89,11 +114,11 @@ def test_delivery_processor(spark, tmp_path):
         put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{at}/in")
         stream = lambda: queue_processor.deliver(spark.readStream.schema(schema).parquet(f"{at}/in"), 10**9, 1)
         put([("g", 1, "enqueue", 1, None), ("g", 2, "enqueue", 2, None), ("g", 1, "enqueue", 3, None)])
-        run(stream(), at)
+        run_until(stream(), at, 2)
         put([("g", 1, "ack", 4, 1), ("g", 2, "nack", 5, None)])
-        run(stream(), at)
+        run_until(stream(), at, 4)
         put([("g", 2, "ack", 6, 1), ("g", 2, "nack", 7, None)])
-        run(stream(), at)
+        run_until(stream(), at, 6)
         got = sorted((r.seq, r.event, r["count"]) for r in spark.read.parquet(f"{at}/out").collect())
         assert got == sorted([(1, "deliver", 0), (2, "deliver", 0), (1, "acked", 0), (2, "redeliver", 1), (2, "refused", 1), (2, "dead_letter", 2)])
     finally:
