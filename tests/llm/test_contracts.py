@@ -306,3 +306,27 @@ def test_names_may_clash(spark, awkward, folder):
         assert out.columns == odd.columns and out.count() > 0
     assert packing.pack_stage(spark, odd, sf).count() > 0
     assert hypergeometric_shards.shard(odd).count() == 15
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_op1_item_in_two_fifths_of_rows(spark, docs, changed):
+    """However many rows hold an item, exactly or with words replaced, each is found."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    item, text = max(bench, key=lambda b: len(b[1].split()))
+    words = text.split()
+    if changed:
+        words = [f"changed{k}" if k % 12 == 5 else w for k, w in enumerate(words)]
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    clean = [(i, t) for i, t in docs if not any(plain(b) in plain(t) for _, b in bench)]
+    hot = [(20_000 + k, f"{clean[k % len(clean)][1][:200]} {' '.join(words)}") for k in range(len(clean) * 2 // 3)]
+    frame = spark.createDataFrame([*clean, *hot], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert {(i, item) for i, _ in hot} <= found
+    assert len({d for d, _ in found if d < 20_000}) <= 1
+
+
+def test_op1_short_common_item_is_found_exactly(spark):
+    rows = [(i, f"pick the red one of those {i}" if i % 2 else f"the one of red and pick {i}") for i in range(15)]
+    bench = spark.createDataFrame([(1, "The red one")], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(r.doc_id for r in found) == [i for i in range(15) if i % 2]
