@@ -330,3 +330,22 @@ def test_op1_short_common_item_is_found_exactly(spark):
     bench = spark.createDataFrame([(1, "The red one")], "item_id long, text string")
     found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted(r.doc_id for r in found) == [i for i in range(15) if i % 2]
+
+
+def test_op5_tag_marks_inside_payload(spark):
+    from tidelog.llm import media_mpeg
+
+    texts = ["x" * 65 + "TAG" + "y" * 100, "z" * 960 + "x" * 65 + "TAG" + "y" * 100, "x" * 857 + "TAG" + "y" * 100, "x" * 161 + "APETAGEX" + "y" * 23, "q" * 65 + "TAG"]
+    texts += ["a" * 960 + "b" * k + mark + "c" * (192 - len(mark) - k) for mark in ("TAG", "APETAGEX") for k in range(0, 190 - len(mark), 4)]
+    rows = media_mpeg.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        payload, n = media_mpeg.padded(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.duration_s == r.samples / 32000 > 0
+    data = media_mpeg.encode(*media_mpeg.padded("v" * 3000))
+    tag = b"TAG" + b"name".ljust(30, b"\x00") + b"\x00" * 95
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + b"\x00" * 16
+    for tail in (tag, ape, ape + tag):
+        p, plain = media_mpeg.parse(data + tail), media_mpeg.parse(data)
+        assert p["end"] == plain["end"] == len(data) and p["samples"] == plain["samples"] and p["skipped"] == 0
+        assert p["tags"].get("title", "name") == "name" and p["tags"]["n_bytes"] == "3000"

@@ -1,7 +1,8 @@
 """MPEG audio as media columns: exact durations, seek offsets, verified checksums.
 
 ``parse`` reads any MPEG-1/2/2.5 audio stream: it skips and reads tags (ID3v2 before,
-ID3v1 and APE after the audio), resynchronises on frame headers (a header counts if the
+ID3v1 and APE after the audio; what looks like one inside a chain of frames that ends with
+the stream is audio), resynchronises on frame headers (a header counts if the
 next frame's header, the end or a tag follows where its length says), reads Xing, Info
 and VBRI tables, verifies Layer III checksums over header and side information, and
 keeps every frame's offset and the exact number of samples.
@@ -99,20 +100,25 @@ def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     return end, tags
 
 
-def parse(data: bytes) -> dict:
-    """Tags, table, frames' offsets, samples, checksum counts and skipped bytes."""
-    start, tags = _id3v2(data)
-    end = len(data)
+def _tail(data: bytes, start: int) -> tuple[int, dict[str, str]]:
+    """Where tags after the audio would begin, and their text."""
+    end, tags = len(data), {}
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            tags.setdefault(name, data[end + a : end + b].split(b"\x00")[0].decode("latin-1").strip())
+            tags[name] = data[end + a : end + b].split(b"\x00")[0].decode("latin-1").strip()
     if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size = int.from_bytes(data[end - 20 : end - 16], "little")
         end = max(start, end - size - (32 if data[end - 9] & 0x80 else 0))
+    return end, tags
+
+
+def _frames(data: bytes, start: int, end: int) -> tuple[list[int], list[tuple], int, bool]:
+    """Offsets and headers of the frames, skipped bytes, and whether the last frame ends
+    with the data and begins where a frame or the tag before the audio ends."""
     at, skipped = start, 0
     offsets, kinds = [], []
-    synced = False
+    synced = chained = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h and at + h[0] <= end:
@@ -120,6 +126,7 @@ def parse(data: bytes) -> dict:
             if synced or nxt == end or header(data[nxt : nxt + 4]):
                 offsets.append(at)
                 kinds.append(h)
+                chained = nxt == end and (synced or at == start)
                 at, synced = nxt, True
                 continue
         synced = False
@@ -127,7 +134,19 @@ def parse(data: bytes) -> dict:
         found = end if found < 0 else found
         skipped += found - at
         at = found
-    skipped += end - at
+    return offsets, kinds, skipped + end - at, chained
+
+
+def parse(data: bytes) -> dict:
+    """Tags, table, frames' offsets, samples, checksum counts and skipped bytes."""
+    start, tags = _id3v2(data)
+    end, after = _tail(data, start)
+    offsets, kinds, skipped, chained = _frames(data, start, len(data))
+    if end < len(data) and not chained:
+        offsets, kinds, skipped, _ = _frames(data, start, end)
+        tags = after | tags
+    else:
+        end = len(data)
     out = {"tags": tags, "skipped": skipped, "table": None, "start": start, "end": end}
     if offsets:
         at, h = offsets[0], kinds[0]
@@ -247,7 +266,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
             back = payload_of(data, p)
             rows.append(
                 (i, int(p["tags"]["n_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                 features(back, p), p["samples"], p["rate"], p["samples"] / p["rate"], p["offsets"])
+                 features(back, p), p["samples"], p["rate"], p["samples"] / p["rate"] if p["rate"] else None, p["offsets"])
             )
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
