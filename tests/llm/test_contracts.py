@@ -349,3 +349,14 @@ def test_op5_tag_marks_inside_payload(spark):
         p, plain = media_mpeg.parse(data + tail), media_mpeg.parse(data)
         assert p["end"] == plain["end"] == len(data) and p["samples"] == plain["samples"] and p["skipped"] == 0
         assert p["tags"].get("title", "name") == "name" and p["tags"]["n_bytes"] == "3000"
+
+
+def test_op6_added_token_inside_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    for text in (end, f"{end} hello", f"a{end}b", f"a {end} {end}{end}\n", f"<{end}>", "<|endoftext|", "<|ENDOFTEXT|>", f"é {end[:5]}{end}", "<|im_start|> <|fim_prefix|>", ""):
+        assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+    assert 50256 in packing.token_ids(f"x{end}y").tolist()
