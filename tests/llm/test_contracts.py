@@ -360,3 +360,11 @@ def test_op6_added_token_inside_texts():
     for text in (end, f"{end} hello", f"a{end}b", f"a {end} {end}{end}\n", f"<{end}>", "<|endoftext|", "<|ENDOFTEXT|>", f"é {end[:5]}{end}", "<|im_start|> <|fim_prefix|>", ""):
         assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
     assert 50256 in packing.token_ids(f"x{end}y").tolist()
+
+
+def test_pipeline_decontamination_decides_by_row(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.where("length(text) > 200").first().text
+    rows = [(None, item), (None, "clean words of no item"), (5, "another clean text"), (5, f"before {item} after"), (6, None), (None, None)]
+    kept = decontaminate.keep_clean(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "clean words of no item"), (5, "another clean text"), (6, "")]
