@@ -368,3 +368,15 @@ def test_pipeline_decontamination_decides_by_row(spark):
     rows = [(None, item), (None, "clean words of no item"), (5, "another clean text"), (5, f"before {item} after"), (6, None), (None, None)]
     kept = decontaminate.keep_clean(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "clean words of no item"), (5, "another clean text"), (6, "")]
+
+
+def test_op4_counts_owners_of_rows_that_share_id_and_text(spark, tmp_path):
+    shared, own = "token=Qw8rTy2uIo5pAs9d", "token=Zx7cVb3nMq1wEr6t"
+    rows = [(None, shared, f"s{i % 3}") for i in range(6)] + [(7, own, "a"), (7, own, "b"), (None, own, "a"), (8, f"{own} " + "Ab3" * 9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = (x[sorted(x.columns)].astype(str) for x in (secret_owners.scan(frame).toPandas().assign(doc_id=lambda d: d.doc_id.fillna(-1).astype(int)), c.sql(secret_owners.ORACLE_SQL).df().assign(doc_id=lambda d: d.doc_id.fillna(-1).astype(int))))
+    assert sorted(got.to_records(index=False).tolist()) == sorted(want.to_records(index=False).tolist())
+    assert all(n == "1" for n in got[got.doc_id == "-1"].n_example) and (got.n_live == "0").sum() == len(got)

@@ -76,17 +76,17 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     each = [tagged(rank, kind) for rank, kind in enumerate(kinds)]
     found = docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.explode(F.concat(*each)).alias("m"))
-    # repeated rows give the same matches once
-    parts = found.select("k", "doc_id", "owner", "m.rank", "m.kind", "m.pos", "m").dropDuplicates(["k", "rank", "pos"])
-    run = W.partitionBy("k", "rank").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    # repeated rows of an owner give the same matches once; every owner is counted
+    parts = found.select("k", "doc_id", "owner", "m.rank", "m.kind", "m.pos", "m").dropDuplicates(["k", "owner", "rank", "pos"])
+    run = W.partitionBy("k", "owner", "rank").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.col("m.size")).over(run)
     least = F.element_at(F.create_map(*(F.lit(x) for kind in kinds for x in (kind, PATTERNS[kind][2]))), F.col("kind"))
     value = F.col("m.value")
     at = parts.select("k", "doc_id", "owner", "rank", "kind", (end - F.col("m.size")).alias("start"), end.alias("end"), value.alias("value"))
     at = at.where((F.length("value") >= least) & ((F.col("kind") != "token") | _mixed(F.col("value"))))
     # a token that a base span touches is no token of its own
-    before = W.partitionBy("k").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("k").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("k", "owner").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("k", "owner").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, -1)
     base = F.col("kind") != "token"
     free = (F.coalesce(F.max(F.when(base, F.col("end"))).over(before), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(base, F.col("start"))).over(after), F.col("end")) >= F.col("end"))
     at = at.select("*", base.alias("base"), (base | free).alias("keep")).where("keep")
@@ -96,7 +96,8 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    judged = at.join(spread, "hash").withColumn("live", F.col("random") & (F.col("owners") < EXAMPLE_OWNERS))
+    once = at.drop("owner", "doc_id").dropDuplicates(["k", "rank", "start"])
+    judged = once.join(spread, "hash").withColumn("live", F.col("random") & (F.col("owners") < EXAMPLE_OWNERS))
     return docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id")), judged.where("base or live").select("k", "rank", "kind", "start", "end", "base", "live", "owners", "repositories")
 
 
