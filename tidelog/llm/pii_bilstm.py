@@ -1,23 +1,33 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with a CRF.
 
-The base spans are exact (``base_spans``).  The model reads windows of ``WINDOW`` characters
-that begin every half window; a character's evidence is the mean over the windows that
-hold it, weighted towards their middles, and one pass of the CRF over every stretch of
-covered text decodes it globally.  A decoded span is kept if it doesn't touch a base span,
-has an @ or at least ``LEAST_DIGITS`` digits, and its mean marginal reaches ``SURE``.
-Windows that hold no @ and fewer digits cannot yield such a span and are not computed.
+The base spans are exact (``base_spans``).  The model reads every whole text in windows of
+``WINDOW`` characters that begin every ``STEP``; a character's evidence is the mean over
+the windows that hold it, weighted towards their middles.  The CRF then decodes each whole
+text at once.  Where a character is so surely outside that no best path can tag it
+(``anchored``), the chain falls apart, so stretches between such characters are decoded
+beside each other, with the whole chain's result; nothing is cut and no window is left out.
+
+A decoded span is added if it touches no base span, its log-odds against the same path
+without it reach ``SURE``, and it passes the test of its kind (``holds``): a card has 13 to
+19 digits and its check digit fits, an address parses, a phone number has 10 to 15 digits,
+an email address has one @ between a name and a dotted host.
 
 Training is in numpy, from labelled spans: those of the base patterns in at most
 ``TRAIN_DOCUMENTS`` documents of at most ``TRAIN_CHARS`` characters, and generated ones
 (forms that the patterns leave out, and look-alikes that are nothing) set into the same
-documents' text.  No other part is bounded; every whole text is read.
+documents' text; ``TRAIN_WINDOWS`` windows, a third of them around base spans at most.
+No other part is bounded; every whole text is read.
 
-Defined results: null text counts as empty; repeated rows get equal rows; null ids stay.
+Defined results: null text counts as empty; repeated rows get equal rows; null ids stay and
+teach nothing; ties of equally good paths go to the tag listed first; a text of any length
+is decoded in time in proportion to it; only doc_id and text are read, so other columns,
+whatever their names, change nothing; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -27,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import ids_and_texts, map_batches, read_table, texts_of
 from .quality_crf import marginals
+from .textvec import slices
+from .training import documents_sample
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, HIDDEN, EPOCHS, BATCH = 64, 20, 14, 64
-TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS = 400, 20_000, 2400
-SURE, LEAST_DIGITS = 0.9, 4
+WINDOW, STEP, HIDDEN, EPOCHS, BATCH = 128, 96, 16, 14, 64
+TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH = 600, 8_000, 3200, 64
+#: Nats by which the path with a span must beat the path without it.
+SURE = 2.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -51,6 +64,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(digits: str) -> bool:
+    """Whether a run of digits, however many zeros lead it, is at most 255."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     text = text or ""
@@ -68,7 +87,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p) < 20 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_part(p) for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -81,23 +100,26 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Character classes: digits, ASCII letters by case, marks of their own, other letters, rest.
+#: Character classes: each digit, ASCII letters by case, marks of their own, other letters, rest.
 _MARKS = "@.+-_() %/:;,='\"#&|\n"
-_CLASSES = len(_MARKS) + 5
+_UPPER, _LOWER, _HEX, _FOREIGN, _REST = range(10, 15)
+_FIRST_MARK = 15
+_CLASSES = _FIRST_MARK + len(_MARKS)
+_BLANK, _AT = _FIRST_MARK + _MARKS.index(" "), _FIRST_MARK + _MARKS.index("@")
 
 
 def _class_table() -> np.ndarray:
-    out = np.full(129, _CLASSES - 1, dtype=np.int64)  # 128 stands for all others
+    out = np.full(129, _REST, dtype=np.int64)  # 128 stands for all others
     for c in range(128):
         if 48 <= c <= 57:
-            out[c] = 0
+            out[c] = c - 48
         elif 97 <= c <= 122:
-            out[c] = 1
+            out[c] = _HEX if c <= 102 else _LOWER
         elif 65 <= c <= 90:
-            out[c] = 2
+            out[c] = _UPPER
         elif chr(c) in _MARKS:
-            out[c] = 4 + _MARKS.index(chr(c))
-    out[128] = 3
+            out[c] = _FIRST_MARK + _MARKS.index(chr(c))
+    out[128] = _FOREIGN
     return out
 
 
@@ -109,127 +131,210 @@ def classes(text: str) -> np.ndarray:
     return _TABLE[np.minimum(cp, 128)]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _lstm(x: np.ndarray, p: dict, d: str, keep: bool = False):
-    """Hidden states (batch, time, HIDDEN) of one direction over class numbers x."""
+    """Hidden states (time, batch, HIDDEN) of one direction over class numbers x (batch, time).
+    Gates in the order in, forget, out, candidate; a sigmoid is a tanh of half its argument."""
     n, steps = x.shape
-    h, c = np.zeros((n, HIDDEN), p["wh" + d].dtype), np.zeros((n, HIDDEN), p["wh" + d].dtype)
-    out = np.zeros((n, steps, HIDDEN), h.dtype)
+    kind, size = p["wh" + d].dtype, p["wh" + d].shape[0]
+    half = np.ones(4 * size, kind)
+    half[: 3 * size] = 0.5
+    wx, wh = (p["wx" + d] + p["b" + d]) * half, p["wh" + d] * half
+    h, c = np.zeros((n, size), kind), np.zeros((n, size), kind)
+    out = np.empty((steps, n, size), kind)
+    z, t = np.empty((n, 4 * size), kind), np.empty((n, size), kind)
+    column = np.ascontiguousarray(x.T)
     cache = []
-    for t in range(steps):
-        z = p["wx" + d][x[:, t]] + h @ p["wh" + d] + p["b" + d]
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-        before, h_before = c, h
-        c = f * c + i * g
-        tc = np.tanh(c)
-        h = o * tc
-        out[:, t] = h
+    for k in range(steps):
+        np.dot(h, wh, out=z)
+        z += wx[column[k]]
+        np.tanh(z, out=z)
+        gates, g = z[:, : 3 * size], z[:, 3 * size :]
+        gates += 1
+        gates *= 0.5
+        if keep:
+            cache.append((z.copy(), c.copy(), h))
+        c *= gates[:, size : 2 * size]
+        np.multiply(gates[:, :size], g, out=t)
+        c += t
+        np.tanh(c, out=t)
+        h = out[k]
+        np.multiply(t, gates[:, 2 * size :], out=h)
         if keep:
-            cache.append((i, f, o, g, before, tc, h_before))
+            cache[-1] += (t.copy(),)
     return out, cache
 
 
 def _lstm_back(x: np.ndarray, p: dict, d: str, cache: list, dout: np.ndarray, grad: dict) -> None:
+    """Adds the gradients of one direction, given those of its hidden states (time, batch, HIDDEN)."""
     n, steps = x.shape
-    dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    for t in range(steps - 1, -1, -1):
-        i, f, o, g, before, tc, h_before = cache[t]
-        dh = dh + dout[:, t]
+    size = p["wh" + d].shape[0]
+    dh, dc = np.zeros((n, size), dout.dtype), np.zeros((n, size), dout.dtype)
+    every = np.empty((steps, n, 4 * size), dout.dtype)
+    for k in range(steps - 1, -1, -1):
+        z, before, h_before, tc = cache[k]
+        i, f, o, g = z[:, :size], z[:, size : 2 * size], z[:, 2 * size : 3 * size], z[:, 3 * size :]
+        dh = dh + dout[k]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        np.add.at(grad["wx" + d], x[:, t], dz)
+        dz = every[k]
+        dz[:, :size], dz[:, size : 2 * size] = dc * g * i * (1 - i), dc * before * f * (1 - f)
+        dz[:, 2 * size : 3 * size], dz[:, 3 * size :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
         grad["wh" + d] += h_before.T @ dz
-        grad["b" + d] += dz.sum(axis=0)
         dh, dc = dz @ p["wh" + d].T, dc * f
+    flat = every.reshape(-1, 4 * size)
+    grad["b" + d] += flat.sum(axis=0)
+    hot = (np.arange(len(p["wx" + d]))[:, None] == x.T.ravel()).astype(dout.dtype)
+    grad["wx" + d] += hot @ flat
+
+
+def _states(x: np.ndarray, p: dict, keep: bool = False):
+    forward, cf = _lstm(x, p, "f", keep)
+    backward, cb = _lstm(x[:, ::-1], p, "b", keep)
+    return np.concatenate([forward, backward[::-1]], axis=2), cf, cb
 
 
 def emissions(x: np.ndarray, p: dict) -> np.ndarray:
     """(batch, time, tag) scores of windows of class numbers."""
-    a, _ = _lstm(x, p, "f")
-    b, _ = _lstm(x[:, ::-1], p, "b")
-    return np.concatenate([a, b[:, ::-1]], axis=2) @ p["wo"] + p["bo"]
+    h, _, _ = _states(x, p)
+    return (h @ p["wo"] + p["bo"]).transpose(1, 0, 2)
+
+
+def loss_and_gradients(x: np.ndarray, y: np.ndarray, p: dict) -> tuple[float, dict]:
+    """Mean negative log-likelihood of tags y (batch, time) of windows x, and its gradients."""
+    k, (n, steps) = len(p["bo"]), x.shape
+    h, cf, cb = _states(x, p, keep=True)
+    e = (h @ p["wo"] + p["bo"]).transpose(1, 0, 2).reshape(-1, k).astype(np.float64)
+    prob, pairs, z = marginals(e, p["trans"].astype(np.float64), np.arange(n + 1) * steps)
+    flat = y.ravel()
+    seen = np.zeros((k, k))
+    np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    loss = (z - e[np.arange(len(e)), flat].sum() - (seen * p["trans"]).sum()) / n
+    prob[np.arange(len(e)), flat] -= 1
+    de = (prob.reshape(n, steps, k).transpose(1, 0, 2) / n).astype(h.dtype)
+    g = {name: np.zeros_like(v) for name, v in p.items()}
+    g["trans"] = ((pairs - seen) / n).astype(h.dtype)
+    g["wo"], g["bo"] = np.tensordot(h, de, ((0, 1), (0, 1))), de.sum(axis=(0, 1))
+    dh, size = de @ p["wo"].T, p["whf"].shape[0]
+    _lstm_back(x, p, "f", cf, dh[:, :, :size], g)
+    _lstm_back(x[:, ::-1], p, "b", cb, dh[::-1, :, size:], g)
+    return float(loss), g
+
+
+def first_weights(rng: np.random.Generator, size: int = HIDDEN) -> dict:
+    k = len(KINDS) + 1
+    p: dict[str, np.ndarray] = {}
+    for d in "fb":
+        p["wx" + d] = rng.normal(0, 0.3, (_CLASSES, 4 * size))
+        p["wh" + d] = rng.normal(0, 0.2, (size, 4 * size))
+        p["b" + d] = np.zeros(4 * size)
+        p["b" + d][size : 2 * size] = 1.0
+    p["wo"], p["bo"], p["trans"] = rng.normal(0, 0.3, (2 * size, k)), np.zeros(k), np.eye(k)
+    return p
 
 
 def fit(windows: np.ndarray, tags: np.ndarray, seed: int = 3) -> dict:
-    """BiLSTM and transitions by maximum likelihood with Adam; windows and tags (n, WINDOW)."""
+    """BiLSTM and transitions by maximum likelihood with Adam; windows and tags (n, time)."""
     rng = np.random.default_rng(seed)
-    k = len(KINDS) + 1
-    p: dict[str, np.ndarray] = {}
-    for d in "fb":
-        p["wx" + d] = rng.normal(0, 0.3, (_CLASSES, 4 * HIDDEN))
-        p["wh" + d] = rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN))
-        p["b" + d] = np.zeros(4 * HIDDEN)
-        p["b" + d][HIDDEN : 2 * HIDDEN] = 1.0
-    p["wo"], p["bo"], p["trans"] = rng.normal(0, 0.3, (2 * HIDDEN, k)), np.zeros(k), np.eye(k)
+    p = {n: v.astype(np.float32) for n, v in first_weights(rng).items()}
     m = {n: np.zeros_like(v) for n, v in p.items()}
     s = {n: np.zeros_like(v) for n, v in p.items()}
     step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(windows))
+        rate = 0.012 * (1 - 0.95 * epoch / EPOCHS)
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
-            x, y = windows[some], tags[some]
-            hf, cf = _lstm(x, p, "f", keep=True)
-            hb, cb = _lstm(x[:, ::-1], p, "b", keep=True)
-            h = np.concatenate([hf, hb[:, ::-1]], axis=2)
-            e = (h @ p["wo"] + p["bo"]).reshape(-1, k)
-            prob, pairs, _ = marginals(e, p["trans"], np.arange(len(some) + 1) * WINDOW)
-            prob[np.arange(len(e)), y.ravel()] -= 1
-            seen = np.zeros((k, k))
-            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-            de = prob.reshape(len(some), WINDOW, k) / len(some)
-            g = {n: np.zeros_like(v) for n, v in p.items()}
-            g["trans"] = (pairs - seen) / len(some)
-            g["wo"], g["bo"] = np.tensordot(h, de, ((0, 1), (0, 1))), de.sum(axis=(0, 1))
-            dh = de @ p["wo"].T
-            _lstm_back(x, p, "f", cf, dh[:, :, :HIDDEN], g)
-            _lstm_back(x[:, ::-1], p, "b", cb, dh[:, ::-1, HIDDEN:], g)
+            _, g = loss_and_gradients(windows[some], tags[some], p)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             step += 1
-            rate = 0.01 * (1 - 0.9 * epoch / EPOCHS)
             for n in p:
-                v = g[n] * min(1.0, 5.0 / (norm + 1e-9))
-                m[n] = 0.9 * m[n] + 0.1 * v
-                s[n] = 0.999 * s[n] + 0.001 * v * v
-                p[n] = p[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.999**step)) + 1e-8)
-    return {n: v.astype(np.float32) if n != "trans" else v for n, v in p.items()}
+                v = g[n] * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+                m[n] = np.float32(0.9) * m[n] + np.float32(0.1) * v
+                s[n] = np.float32(0.999) * s[n] + np.float32(0.001) * v * v
+                p[n] = p[n] - np.float32(rate) * (m[n] / np.float32(1 - 0.9**step)) / (np.sqrt(s[n] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+    return p
+
 
+def with_check_digit(digits: str) -> str:
+    return digits + next(c for c in "0123456789" if luhn(digits + c))
 
-def _generated(rng: np.random.Generator) -> tuple[str, str | None]:
-    """A made-up string and its kind; None for look-alikes that are no personal data."""
+
+def generated(rng: np.random.Generator) -> tuple[str, str | None]:
+    """A made-up string and its kind; None for look-alikes that are no personal data.
+    A number that is written as cards are is one here, whatever its check digit: that is
+    tested afterwards."""
+    pick = lambda *a: a[rng.integers(len(a))]
     num = lambda n: "".join(str(rng.integers(10)) for _ in range(n))
     word = lambda a, b, s="abcdefghijklmnopqrstuvwxyz": "".join(s[rng.integers(len(s))] for _ in range(rng.integers(a, b)))
-    kind = int(rng.integers(14))
+    hexes = lambda a, b: word(a, b, "0123456789abcdef")
+    kind = int(rng.integers(32))
     if kind == 0:
-        return f"{word(3, 9)}.{num(2)}@{word(3, 8)}{num(1)}.{word(3, 9)}.{word(2, 4)}", "email"
-    if kind == 1:
-        return f"{word(2, 8, 'abcdeéèñöü')}{word(2, 5)}@{word(3, 10)}.{word(2, 4)}", "email"
-    if kind == 2:
+        return f"{word(3, 9)}{pick('.', '_', '')}{num(int(rng.integers(3)))}@{word(3, 8)}{pick('', num(1))}.{pick('', word(3, 9) + '.')}{word(2, 4)}", "email"
+    if kind in (1, 2):
+        return f"{word(2, 9)}{word(1, 3, 'éèñöüßç')}@{word(3, 10)}.{word(2, 4)}", "email"
+    if kind == 3:
+        return f"{word(2, 9)}{pick('', '.' + word(2, 6))}@{word(2, 6)}{word(1, 2, 'éèñöüä')}{word(2, 6)}.{word(2, 4)}", "email"
+    if kind == 4:
         return ".".join(str(rng.integers(256)) for _ in range(4)), "ip"
-    if kind in (3, 4):
-        digits = "4" + num(14)
-        digits += next(c for c in "0123456789" if luhn(digits + c))
-        sep = ("", "", " ", "-", ".")[rng.integers(5)]
-        return sep.join(digits[i : i + 4] for i in range(0, 16, 4)) if sep else digits, "card"
     if kind in (5, 6):
-        return (f"+{rng.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(6)}")[rng.integers(3)], "phone"
+        return ":".join(hexes(4, 5) if rng.random() < 0.7 else hexes(1, 4) for _ in range(8)), "ip"
     if kind == 7:
-        return word(16, 33, "0123456789abcdef"), None
-    if kind == 8:
-        return f"{num(4)}-{num(2)}-{num(2)}", None
-    if kind == 9:
-        return num(int(rng.integers(1, 9))), None
-    if kind == 10:
-        return f"{num(2)}.{num(3)},{num(2)}", None
-    if kind == 11:
-        return "AKIA" + word(16, 17, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), None
+        return f"{pick('fe80', '2001:db8', 'fd00')}::{':'.join(hexes(2, 5) for _ in range(rng.integers(2, 5)))}", "ip"
+    if kind in (8, 9):
+        digits, sep = with_check_digit(pick("4", "51", "55", "6011") + num(14))[:16], pick(".", ".", "/", "_", "")
+        return sep.join(digits[i : i + 4] for i in range(0, 16, 4)) if sep else digits, "card"
+    if kind in (10, 11):
+        digits, sep = with_check_digit(pick("34", "37") + num(12)), pick("", " ", "-")
+        return sep.join((digits[:4], digits[4:10], digits[10:])), "card"
     if kind == 12:
-        return f"v{num(1)}.{num(2)}.{num(1)}", None
-    return f"password={word(16, 20, '0123456789abcdef')}", None
+        digits, sep = with_check_digit(pick("30", "36", "38") + num(11)), pick("", " ", "-")
+        return sep.join((digits[:4], digits[4:10], digits[10:])), "card"
+    if kind in (13, 14):
+        return pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}){num(3)}-{num(4)}"), "phone"
+    if kind == 15:
+        return pick(f"00{pick('1', '33', '34', '44', '49')} {num(2)} {num(4)} {num(4)}", f"00{pick('33', '34', '44', '49')} {num(3)} {num(3)} {num(3)}"), "phone"
+    if kind == 16:
+        return pick(f"+{rng.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(6)}", f"+{num(2)}/{num(3)}/{num(6)}"), "phone"
+    if kind == 17:
+        return hexes(16, 41), None
+    if kind == 18:
+        return pick(f"{pick('19', '20')}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"20{num(2)}-{num(2)}-{num(2)}T{num(2)}:{num(2)}:{num(2)}"), None
+    if kind == 19:
+        return num(int(rng.integers(1, 13))), None
+    if kind == 20:
+        return pick(f"{num(2)}.{num(3)},{num(2)}", f"${num(1)},{num(3)}.{num(2)}", f"{num(1)}.{num(6)}", f"{num(1)},{num(3)},{num(3)},{num(3)}"), None
+    if kind == 21:
+        return "AKIA" + word(16, 17, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), None
+    if kind == 22:
+        return pick(f"v{num(1)}.{num(2)}.{num(1)}", f"{num(1)}.{num(1)}.{num(2)}"), None
+    if kind == 23:
+        return f"{pick('password', 'token', 'api_key')}={word(12, 24, 'ABCDEFabcdefghijk0123456789')}", None
+    if kind == 24:
+        return pick("16", "17") + num(int(pick(8, 11, 14, 17))), None  # moments
+    if kind == 25:
+        return pick("1", "2", "7", "8", "9", "0") + num(int(rng.integers(12, 19))), None  # long numbers
+    if kind == 26:
+        return f"{word(2, 5, 'ABCDEFGHKLMNPRST')}-{num(4)}-{num(int(rng.integers(4, 9)))}", None
+    if kind == 27:
+        return ":".join(hexes(2, 3) for _ in range(6)), None
+    if kind == 28:
+        return f"97{pick('8', '9')}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", None
+    if kind == 29:
+        return pick(f"{num(2)}:{num(2)}:{num(2)}", f"{num(4)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}"), None
+    if kind == 30:
+        return pick(f"@{word(4, 12)}", f"{word(3, 6)} @ {num(2)}", f"@{word(3, 9)}{num(4)}"), None
+    return ("." if rng.random() < 0.5 else " ").join(num(3) for _ in range(rng.integers(3, 8))), None
+
+
+def planted(texts: list[str], n: int, rng: np.random.Generator) -> list[tuple[str, str | None, int, int]]:
+    """n pieces of the texts with a generated string inside: (piece, kind, start, end)."""
+    out = []
+    while len(out) < n and texts:
+        t = texts[rng.integers(len(texts))]
+        at = int(rng.integers(len(t))) if t else 0
+        made, kind = generated(rng)
+        body = t[max(0, at - TRAIN_LENGTH) : at] + (" " if rng.random() < 0.85 else (": ", "(", "\n")[rng.integers(3)])
+        out.append((body + made + (" " if rng.random() < 0.7 else (". ", ", ", ")")[rng.integers(3)]) + t[at : at + TRAIN_LENGTH], kind, len(body), len(body) + len(made)))
+    return out
 
 
 def training_windows(texts: list[str], seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -239,94 +344,146 @@ def training_windows(texts: list[str], seed: int = 4) -> tuple[np.ndarray, np.nd
     xs, ys = [], []
 
     def add(text: str, marks: list[tuple[str, int, int]], middle: int) -> None:
-        x, y = np.full(len(text) + 2 * WINDOW, 4 + _MARKS.index(" ")), np.zeros(len(text) + 2 * WINDOW, dtype=np.int64)
-        x[WINDOW:-WINDOW] = classes(text)
+        pad = TRAIN_LENGTH
+        x, y = np.full(len(text) + 2 * pad, _BLANK), np.zeros(len(text) + 2 * pad, dtype=np.int64)
+        x[pad:-pad] = classes(text)
         for kind, a, b in marks:
-            y[WINDOW + a : WINDOW + b] = 1 + KINDS.index(kind)
-        a = int(np.clip(WINDOW + middle - rng.integers(WINDOW), 0, len(x) - WINDOW))
-        xs.append(x[a : a + WINDOW])
-        ys.append(y[a : a + WINDOW])
-
-    for t in texts:
-        spans = base_spans(t)
-        for _, a, b in spans[:4]:
-            lo = max(0, a - WINDOW)
-            add(t[lo : b + WINDOW], [(k, max(s, lo) - lo, min(e, b + WINDOW) - lo) for k, s, e in spans if s < b + WINDOW and e > lo], (a + b) // 2 - lo)
-    xs, ys = xs[: TRAIN_WINDOWS // 3], ys[: TRAIN_WINDOWS // 3]
-    while len(xs) < TRAIN_WINDOWS and texts:
+            y[pad + a : pad + b] = 1 + KINDS.index(kind)
+        a = int(np.clip(pad + middle - rng.integers(pad), 0, len(x) - pad))
+        xs.append(x[a : a + pad])
+        ys.append(y[a : a + pad])
+
+    spots = [(t, s) for t in texts for s in base_spans(t)]
+    for i in rng.permutation(len(spots))[: TRAIN_WINDOWS // 3]:
+        t, (_, a, b) = spots[i]
+        lo = max(0, a - TRAIN_LENGTH)
+        some = t[lo : b + TRAIN_LENGTH]
+        add(some, base_spans(some), (a + b) // 2 - lo)
+    for _ in range(TRAIN_WINDOWS // 8 if texts else 0):
         t = texts[rng.integers(len(texts))]
-        at = int(rng.integers(len(t))) if t else 0
-        left, right = t[max(0, at - WINDOW) : at], t[at : at + WINDOW]
-        made, kind = _generated(rng)
-        gap = " " if rng.random() < 0.8 else (": ", "", "\n")[rng.integers(3)]
-        body = left + gap
-        marks = [(k, a, b) for k, a, b in base_spans(left)] + ([(kind, len(body), len(body) + len(made))] if kind else [])
-        full = body + made + (" " if rng.random() < 0.7 else ". ") + right
-        marks += [(k, a + len(full) - len(right), b + len(full) - len(right)) for k, a, b in base_spans(right)]
-        add(full, marks, len(body) + len(made) // 2)
+        at = int(rng.integers(max(1, len(t))))
+        some = t[max(0, at - TRAIN_LENGTH) : at + TRAIN_LENGTH]
+        add(some, base_spans(some), len(some) // 2)
+    for piece, kind, a, b in planted(texts, TRAIN_WINDOWS - len(xs), rng):
+        # a base span that the string is part of, or that is part of it, is no second label
+        marks = [m for m in base_spans(piece) if m[2] <= a or m[1] >= b]
+        add(piece, marks + ([(kind, a, b)] if kind else []), (a + b) // 2)
     return np.array(xs), np.array(ys)
 
 
 def train(docs: DataFrame) -> dict | None:
-    some = ids_and_texts(docs).where(f"length(text) between 1 and {TRAIN_CHARS}")
-    rows = some.where("text rlike '[0-9]{4}|@'").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCUMENTS).collect()
-    rows = rows or some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCUMENTS).collect()
-    return fit(*training_windows([r["text"] for r in rows])) if rows else None
+    texts = documents_sample(docs, TRAIN_DOCUMENTS, TRAIN_CHARS)
+    return fit(*training_windows(texts)) if texts else None
+
+
+def holds(kind: str, s: str) -> bool:
+    """The test that a decoded span must pass."""
+    digits = "".join(c for c in s if c in "0123456789")
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in s)
+    if kind == "phone":
+        return 10 <= len(digits) <= 15 and not any(c.isalpha() for c in s) and s.count("(") == s.count(")") and s[-1] in "0123456789"
+    if kind == "ip":
+        try:
+            ipaddress.ip_address(s)
+        except ValueError:
+            return False
+        return True
+    name, at, host = s.partition("@")
+    return bool(name and at) and "@" not in host and all(host.split(".")) and "." in host and not any(c.isspace() for c in s)
+
+
+def evidence(texts: list[str], p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, at): (character, tag) scores of all texts end to end; text i has
+    scores[at[i]:at[i + 1]].  Every window of every text is computed."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    windows = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STEP)), 0)
+    room = np.where(sizes > 0, (windows - 1) * STEP + WINDOW, 0)
+    off = np.concatenate([[0], np.cumsum(room)])
+    first = np.concatenate([[0], np.cumsum(windows)])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    x = np.full(off[-1], _BLANK, dtype=np.int64)
+    where = np.repeat(off[:-1] - at[:-1], sizes) + np.arange(at[-1])
+    x[where] = classes("".join(texts))
+    number = np.arange(first[-1]) - np.repeat(first[:-1], windows)
+    start = np.repeat(off[:-1], windows) + number * STEP
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+    total, share = np.zeros((off[-1], len(p["bo"])), dtype=np.float32), np.zeros(off[-1], dtype=np.float32)
+    for turn in (0, 1):  # windows of the same turn do not overlap
+        mine = start[number % 2 == turn]
+        for a in range(0, len(mine), 2048):
+            spots = mine[a : a + 2048, None] + np.arange(WINDOW)
+            total[spots] += emissions(x[spots], p) * weight[:, None]
+            share[spots] += weight
+    return (total[where] / share[where, None]).astype(np.float64), at
+
+
+def anchored(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Characters that are outside on every best path.  A run of a tag on a best path beats
+    the same run outside, so its evidence must lose less than transitions can gain at its two
+    ends; a character that no such run holds, for any tag, is outside.  The least sum over all
+    runs that hold a character comes from running sums, in linear time."""
+    n, k = score.shape
+    out = np.ones(n, dtype=bool)
+    for y in range(1, k):
+        stay = trans[y, y] - trans[0, 0]
+        others = [a for a in range(k) if a != y]
+        gain = max(0.0, (trans[others, y] - trans[others, 0]).max()) + max(0.0, (trans[y, others] - trans[0, others]).max()) - stay
+        lost = score[:, 0] - score[:, y] - stay
+        c = np.concatenate([[0.0], np.cumsum(lost)])
+        before = np.maximum.accumulate(c[:-1])
+        after = np.minimum.accumulate(c[:0:-1])[::-1]
+        out &= after - before > gain + 1e-6
+    return out
 
 
-def _covered(x: np.ndarray) -> np.ndarray:
-    """Starts of the windows of a text that hold an @ or LEAST_DIGITS digits."""
-    half = WINDOW // 2
-    n = max(1, -(-max(0, len(x) - WINDOW) // half) + 1)
-    digit = np.concatenate([[0], np.cumsum(x == 0)])
-    at = np.concatenate([[0], np.cumsum(x == 4)])
-    start = np.arange(n) * half
-    stop = np.minimum(start + WINDOW, len(x))
-    return start[(digit[stop] - digit[start] >= LEAST_DIGITS) | (at[stop] > at[start])]
+def decode(score: np.ndarray, trans: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The best tags of whole texts; stretches between anchored characters are decoded
+    beside each other, each with an anchored character at either side."""
+    out = np.zeros(len(score), dtype=np.int64)
+    free = ~anchored(score, trans)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    spots = np.flatnonzero(free)
+    if not len(spots):
+        return out
+    new = np.concatenate([[True], (np.diff(spots) > 1) | (np.diff(owner[spots]) > 0)])
+    begin = spots[new]
+    end = np.append(spots[:-1][new[1:]], spots[-1]) + 1
+    begin = np.maximum(begin - 1, at[owner[begin]])
+    end = np.minimum(end + 1, at[owner[end - 1] + 1])
+    n = end - begin
+    to = np.concatenate([[0], np.cumsum(n)])
+    where = np.repeat(begin - to[:-1], n) + np.arange(to[-1])
+    best = viterbi(score[where], trans, to)
+    out[where[best > 0]] = best[best > 0]  # an anchored character may close two stretches
+    return out
+
+
+def spans_of(text: str, tags: np.ndarray, score: np.ndarray, trans: np.ndarray) -> list[tuple[str, int, int]]:
+    """Decoded spans of one text that are sure enough and pass their kind's test."""
+    out = []
+    edge = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+    for b, c in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        y = tags[b]
+        if y:
+            gain = float((score[b:c, y] - score[b:c, 0]).sum()) + (c - b - 1) * (trans[y, y] - trans[0, 0])
+            gain += trans[tags[b - 1], y] - trans[tags[b - 1], 0] if b else 0.0
+            gain += trans[y, tags[c]] - trans[0, tags[c]] if c < len(tags) else 0.0
+            while c - b > 1 and text[b] in "( ," and text.count("(", b, c) != text.count(")", b, c):
+                b += 1  # a bracket around the span is none of it
+            if gain >= SURE and holds(KINDS[y - 1], text[b:c]):
+                out.append((KINDS[y - 1], b, c))
+    return out
 
 
 def model_spans(texts: list[str], p: dict) -> list[list[tuple[str, int, int]]]:
     """Decoded spans of each text that pass the tests, before base spans are regarded."""
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    half = WINDOW // 2
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    blank = 4 + _MARKS.index(" ")
-    jobs = []  # (text, first character, classes, window starts from there) of each stretch
-    for i, t in enumerate(texts):
-        x = classes(t)
-        starts = _covered(x)
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > half) + 1) if len(starts) else []:
-            for a in range(0, len(run), 256):  # a stretch of long lists of numbers is cut at window starts
-                part = run[a : a + 257]
-                jobs.append((i, int(part[0]), x[part[0] : part[-1] + WINDOW], part - part[0]))
-    for a in range(0, len(jobs), 512):
-        some = jobs[a : a + 512]
-        rows = []
-        for _, _, x, starts in some:
-            full = np.concatenate([x, np.full(WINDOW, blank)])
-            rows += [full[s : s + WINDOW] for s in starts]
-        e = emissions(np.array(rows), p)
-        flat, at, r = [], [0], 0
-        for _, _, x, starts in some:
-            total = np.zeros((len(x) + WINDOW, e.shape[2]), dtype=np.float32)
-            w = np.zeros(len(x) + WINDOW, dtype=np.float32)
-            for s in starts:
-                total[s : s + WINDOW] += e[r] * weight[:, None]
-                w[s : s + WINDOW] += weight
-                r += 1
-            flat.append(total[: len(x)] / w[: len(x), None])
-            at.append(at[-1] + len(x))
-        score = np.concatenate(flat).astype(np.float64)
-        prob, _, _ = marginals(score, p["trans"], np.array(at))
-        best = viterbi(score, p["trans"], np.array(at))
-        for j, (i, first, x, _) in enumerate(some):
-            y = best[at[j] : at[j + 1]]
-            edge = np.flatnonzero(np.diff(y, prepend=0, append=0))
-            for b, c in zip(edge, edge[1:], strict=False):
-                if y[b]:
-                    sure = prob[at[j] + b : at[j] + c, y[b]].mean()
-                    if sure >= SURE and ((x[b:c] == 4).any() or (x[b:c] == 0).sum() >= LEAST_DIGITS):
-                        out[i].append((KINDS[y[b] - 1], first + int(b), first + int(c)))
+    score, at = evidence(texts, p)
+    trans = p["trans"].astype(np.float64)
+    tags = decode(score, trans, at)
+    out = []
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        out.append(spans_of(t, tags[a:b], score[a:b], trans) if tags[a:b].any() else [])
     return out
 
 
@@ -359,25 +516,14 @@ def all_spans(texts: list[str | None], p: dict | None) -> list[tuple[list, list]
     """(base spans, all spans) of each text, by kind as listed, then start."""
     out = []
     plain = [t or "" for t in texts]
-    base = [base_spans(t) for t in plain]
-    look = [i for i, t in enumerate(plain) if _DIGIT.search(t) or "@" in t] if p is not None else []
-    found: dict[int, list] = {}
-    size, group = 0, []
-    for i in [*look, None]:  # a part of the batch at a time
-        if group and (i is None or size > 1 << 18):
-            found |= dict(zip(group, model_spans([plain[j] for j in group], p), strict=True))
-            group, size = [], 0
-        if i is not None:
-            group.append(i)
-            size += len(plain[i])
-    for i in range(len(plain)):
-        more = set()
-        if found.get(i):
-            edges = sorted((a, b) for _, a, b in base[i])
-            for k, a, b in found[i]:
-                if not any(x < b and y > a for x, y in edges):
-                    more.add((k, a, b))
-        out.append((base[i], sorted({*base[i], *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+    for a, b in slices(plain):
+        some = plain[a:b]
+        found = model_spans(some, p) if p is not None else [[]] * len(some)
+        for t, extra in zip(some, found, strict=True):
+            base = base_spans(t)
+            edges = [(x, y) for _, x, y in base]
+            more = {(k, x, y) for k, x, y in extra if not any(v < y and w > x for v, w in edges)} if extra else set()
+            out.append((base, sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 

@@ -2,48 +2,68 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fold, ids_and_texts
 
 
+def documents_sample(docs: DataFrame, most: int, max_chars: int) -> list[str]:
+    """Texts of at most ``most`` documents of 1 to ``max_chars`` characters, chosen by a hash
+    of the id.  Ids are drawn from the id column alone; texts are joined to those drawn, and
+    the least of those that share an id counts, so at most ``most`` texts reach the driver."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
+    share = min(1.0, 8 * most / max(1, docs.count()))
+    texts = ids_and_texts(docs).where(f"length(text) between 1 and {max_chars}")
+    while True:
+        drawn = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().orderBy(F.xxhash64("_id"), "_id").limit(2 * most)
+        found = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))  # 2 * most ids
+        rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        if len(rows) >= most // 2 or share >= 1.0:
+            return [r["text"] for r in rows]
+        share = min(1.0, share * 8)
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, per_class: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, per_class: int, max_chars: int, most_labels: int = 1000
 ) -> list[tuple[str, str]]:
     """(text, label) of at most ``per_class`` documents of each label, chosen by a hash
     of the id among those outside the held-out fold and of at most ``max_chars``
     characters.  Both bounds hold for fitting only; scoring sees whole texts of all rows.
-    Rows whose id, label or text is null teach nothing; of repeated ids one counts."""
+    More than ``most_labels`` labels are an error: none is left out silently.
+    Rows whose id, label or text is null teach nothing; of repeated ids one counts, with the
+    least of its labels and texts, chosen before anything reaches the driver."""
     marked = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("label"))
-        .where("doc_id is not null and label is not null")
-        .where(fold(F.col("doc_id"), folds) != held_out)
-        .groupBy("doc_id")
+        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("string").alias("label"))
+        .where("_id is not null and label is not null")
+        .where(fold(F.col("_id"), folds) != held_out)
+        .groupBy("_id")
         .agg(F.min("label").alias("label"))
     )
-    out: list[tuple[str, str]] = []
-    classes = [r[0] for r in marked.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()]
-    chosen = None
-    for label in sorted(classes):
-        some = marked.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
-        return out
-    small = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "label"))  # at most 256 * per_class ids
-    found = (
-        ids_and_texts(docs)
-        .where((fold(F.col("doc_id"), folds) != held_out) & (F.length("text") <= max_chars))
-        .join(small, F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "text", "label")
-    )
-    seen: set[int] = set()
-    for row in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"])):
-        if row["doc_id"] not in seen:
-            seen.add(row["doc_id"])
-            out.append((row["text"], row["label"]))
-    return out
+    classes = sorted(r[0] for r in marked.select("label").distinct().limit(most_labels + 1).collect())
+    if len(classes) > most_labels:
+        raise ValueError(f"more than {most_labels} labels to learn")
+    if not classes:
+        return []
+    short = ids_and_texts(docs).where((fold(F.col("doc_id"), folds) != held_out) & (F.length("text") <= max_chars))
+    draw = 2 * per_class
+    while True:  # a label whose drawn documents are mostly too long or missing is drawn from again
+        chosen = None
+        for label in classes:
+            some = marked.where(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(draw)
+            chosen = some if chosen is None else chosen.unionByName(some)
+        drawn = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+        found = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+        place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = found.withColumn("place", place).where(F.col("place") <= per_class).drop("place").collect()
+        have = Counter(r["label"] for r in rows)
+        if all(have[c] >= per_class or drawn.get(c, 0) < draw for c in classes):
+            return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+        draw *= 8
 
 
 class Rows:
