@@ -380,3 +380,25 @@ def test_op4_counts_owners_of_rows_that_share_id_and_text(spark, tmp_path):
     got, want = (x[sorted(x.columns)].astype(str) for x in (secret_owners.scan(frame).toPandas().assign(doc_id=lambda d: d.doc_id.fillna(-1).astype(int)), c.sql(secret_owners.ORACLE_SQL).df().assign(doc_id=lambda d: d.doc_id.fillna(-1).astype(int))))
     assert sorted(got.to_records(index=False).tolist()) == sorted(want.to_records(index=False).tolist())
     assert all(n == "1" for n in got[got.doc_id == "-1"].n_example) and (got.n_live == "0").sum() == len(got)
+
+
+def test_op7_margins_beyond_the_exact_sizes():
+    rows = np.array([3 * 10**9, 10**10, 5, 7 * 10**8])
+    m = hypergeometric_shards.communication_matrix(rows, 3, 4)
+    assert (m.sum(1) == rows).all() and np.ptp(m.sum(0)) <= 1 and (m >= 0).all()
+    assert np.abs(m[1] / 10**10 - 1 / 3).max() < 1e-4
+
+
+def test_op7_any_cut_of_a_partition_deals_alike(spark):
+    """Batches of other sizes give the same shards: a partition's permutation is one."""
+    df = spark.range(0, 5000, 1, 3).withColumnRenamed("id", "doc_id")
+    key, out = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    old = spark.conf.get(key)
+    try:
+        for n in (7, 500):
+            spark.conf.set(key, str(n))
+            out.append(sorted((r.doc_id, r.shard, r.slot) for r in hypergeometric_shards.shard(df).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert out[0] == out[1]
+    assert len({s for _, s, _ in out[0]}) == 8

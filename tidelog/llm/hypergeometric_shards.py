@@ -8,13 +8,18 @@ permutes again, in buckets of a random key whose sizes give the slots' offsets,
 neither a shard nor a bucket has to fit one task.
 
 The matrix has a line for each input partition and a column for each shard; the driver
-holds nothing that grows with the rows.  The law is ``rows``: shard sizes differ by one
+holds nothing that grows with the rows.  A task draws a partition's permutation once and
+keeps one or two bytes a row of it; keys come from rows' places, so both take constant
+time a row.  The law is ``rows``: shard sizes differ by one
 at most.  Defined results: null text has no bytes; null ids and repeated rows are rows as
-any other; with fewer rows than shards the last shards are empty.
+any other, each with a slot of its own; equal keys go by place; texts are only measured, so
+their length costs nothing; an empty table gives no rows; with fewer rows than shards the last shards are empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_batches, read_table, written
+from .common import fresh, read_table, small_batches, written
+from .textvec import mix
 
 SHARDS = 8
 #: Rows that one bucket of a shard's second permutation holds, on average.
@@ -50,8 +56,10 @@ def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good; exact at any size: sizes beyond
-    numpy's limit are halved until they fit."""
+    """How many of n draws without replacement are good.  The law is exact up to numpy's limit
+    of 10**9 of each kind; beyond it, the urn is drawn from in runs of a millionth of it, each
+    as with replacement, so a count's variance is right to one part in a million.  Margins,
+    and with them all sizes, are exact always."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
@@ -61,14 +69,21 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     if n > (good + bad) // 2:  # what is not drawn is a draw, too
         return good - _hypergeometric(rng, good, bad, good + bad - n)
     out = 0
-    while n:  # one urn's contents are drawn in runs, each without replacement
+    while n:
         p = good / (good + bad)
         step = min(n, max(1, (good + bad) // 10**6))
-        k = min(good, int(rng.binomial(step, p))) if step > 1 else int(rng.random() < p)
+        k = int(rng.binomial(step, p)) if step > 1 else int(rng.random() < p)
+        k = max(min(k, good), step - bad)
         out, good, bad, n = out + k, good - k, bad - (step - k), n - step
     return out
 
 
+def keyed(place: np.ndarray, seed: int) -> np.ndarray:
+    """A random 62-bit key of each row's place, one to one over the full 64 bits."""
+    x = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return (mix(x) >> np.uint64(2)).astype(np.int64)
+
+
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """df with ``shard`` and ``slot`` (from 0 without gaps in each shard); all columns stay."""
     names = [c for c in df.columns if c.lower() not in ("shard", "slot")]  # given anew
@@ -77,26 +92,30 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     at, key, bucket, low, size = fresh(df, "_at", "_key", "_bucket", "_first", "_size")
     placed = written(df.withColumn(at, F.monotonically_increasing_id()), "dealt")
     part = F.shiftright(at, 33)
+    kind = np.uint8 if shards <= 256 else np.uint16 if shards <= 1 << 16 else np.int32
     counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
     rows = np.array([n for _, n in counts], dtype=np.int64)
     sent = df.sparkSession.sparkContext.broadcast(({p: i for i, (p, _) in enumerate(counts)}, communication_matrix(rows, shards, seed)))
     buckets = max(1, int(rows.sum()) // shards // BUCKET_ROWS)
 
-    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        place = batch.column(batch.schema.get_field_index(at)).to_numpy()
-        who, pos = place >> 33, place & ((1 << 33) - 1)
-        out, keys = np.zeros(len(place), dtype=np.int32), np.zeros(len(place), dtype=np.int64)
+    small_batches(df.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, matrix = sent.value
-        for p in np.unique(who):
-            mine = who == p
-            line = matrix[where[p]]
-            rng = np.random.default_rng((seed, int(p)))
-            out[mine] = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), line))[pos[mine]]
-            keys[mine] = rng.integers(0, 1 << 62, int(line.sum()))[pos[mine]]
-        return batch.append_column("shard", pa.array(out)).append_column(key, pa.array(keys))
+        last, line = None, np.zeros(0, dtype=kind)
+        for batch in batches:
+            place = batch.column(batch.schema.get_field_index(at)).to_numpy()
+            who, pos = place >> 33, place & ((1 << 33) - 1)
+            out = np.zeros(len(place), dtype=np.int32)
+            for p in np.unique(who).tolist():
+                if p != last:  # drawn once a task and partition, a few bytes a row
+                    last, line = p, np.random.default_rng((seed, p)).permutation(np.repeat(np.arange(shards, dtype=kind), matrix[where[p]]))
+                mine = who == p
+                out[mine] = line[pos[mine]]
+            yield batch.append_column("shard", pa.array(out)).append_column(key, pa.array(keyed(place, seed)))
 
     schema = T.StructType([*kinds, T.StructField(at, T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField(key, T.LongType())])
-    exchanged = written(map_batches(placed, deal, schema).withColumn(bucket, F.pmod(key, F.lit(buckets))), "exchanged")
+    exchanged = written(placed.mapInArrow(deal, schema).withColumn(bucket, F.pmod(key, F.lit(buckets))), "exchanged")
     sizes = exchanged.groupBy("shard", bucket).agg(F.count("*").alias(size))
     first = F.coalesce(F.sum(size).over(W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("shard", bucket, first.alias(low))
