@@ -402,3 +402,74 @@ def test_op7_any_cut_of_a_partition_deals_alike(spark):
         spark.conf.set(key, old)
     assert out[0] == out[1]
     assert len({s for _, s, _ in out[0]}) == 8
+
+
+def test_op10_hot_keys_and_shared_ids(spark):
+    """A third of all rows share an id (or have none), another third share a text, and one
+    group is a star around a hub; counts equal brute force by row."""
+    rng = np.random.default_rng(9)
+    base = [f"w{rng.integers(500)}" for _ in range(120)]
+
+    def near(k):
+        words = list(base)
+        words[(k * 7) % len(words)] = f"x{k}"
+        return " ".join(words)
+
+    rows = [(None, near(k)) for k in range(150)] + [(7, near(1000 + k)) for k in range(150)]
+    rows += [(5000 + k, "one text that very many rows hold") for k in range(300)] + [(k, f"alone {k} " * 3) for k in range(100, 200)]
+    got = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _, _ = want = brute_links(list(enumerate(t for _, t in rows)))
+    a = Counter((r.doc_id, r.links) for r in got)
+    assert a == Counter((rows[i][0], n) for i, n in want[0].items())
+    assert {r.class_id for r in got if r.doc_id in (None, 7)} == {7}
+    kept = jaccard_join.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(kept) == 102
+
+
+def test_op10_alike_by_differences_equals_plain_counts():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    for change in (3, 30, 190):
+        sets = []
+        for _ in range(30):
+            s = base.copy()
+            s[rng.integers(0, 200, change)] = rng.integers(0, 1 << 60, change)
+            sets.append(np.unique(s[: rng.integers(1, 200)] if rng.random() < 0.3 else s))
+        for left, right in ((sets, None), (sets[:12], sets[12:])):
+            other = sets if right is None else right
+            for i, found in jaccard_join.alike(left, right, 0.8):
+                ok = [j for j in range(len(other)) if (right is not None or j > i) and len(np.intersect1d(left[i], other[j])) >= 0.8 * len(np.union1d(left[i], other[j])) - 1e-9]
+                if right is None:
+                    assert (found).tolist() == ok
+                else:
+                    assert found.tolist() == ok
+
+
+def test_components_of_chains_stars_and_hubs(spark):
+    from tidelog.llm.components import connected_components, hot_above
+
+    assert hot_above(10**9) == 10**5 and hot_above(50) == 100
+    pairs = [(k, k + 1) for k in range(1000, 1400)] + [(5, 5000 + k) for k in range(400)] + [(3, 3), (None, 4), (9000, 9001), (9001, 9000)]
+    got = connected_components(spark.createDataFrame(pairs, "u long, v long"), "t").collect()
+    roots = {}
+    for r in got:
+        roots.setdefault(r.root, set()).add(r.node)
+    assert len(got) == sum(map(len, roots.values()))
+    assert roots == {1000: set(range(1000, 1401)), 5: {5, *range(5000, 5400)}, 9000: {9000, 9001}}
+
+
+def test_written_tables_are_verified_and_bounded_to_shared_folders(spark, monkeypatch):
+    import glob
+
+    from tidelog import session
+
+    df, path = session.settled_at(spark.range(20_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)), "damage")
+    assert df.count() == 20_000
+    part = max(glob.glob(f"{path}/*.parquet"), key=lambda f: __import__("os").path.getsize(f))
+    raw = bytearray(open(part, "rb").read())
+    raw[len(raw) // 2] ^= 0x55
+    open(part, "wb").write(raw)
+    with pytest.raises(Exception):
+        df.agg(F.max("t")).collect()
+    session.discard(spark, path)
+    assert not glob.glob(f"{path}/*")

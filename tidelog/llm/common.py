@@ -1,41 +1,19 @@
-"""Session and storage helpers of the subpackage: shared folders, written tables, folds."""
+"""Helpers of the subpackage: written tables, folds, fresh names, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that a Python step gets at most; texts may be long.
-BATCH_ROWS = 500
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own
-    only where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidelog-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from tidelog.session import settled as written
 
+__all__ = ["written"]
 
-#: For shared folders on file: paths.  Hadoop's checksummed local files are two files and
-#: four chmod processes a part; plain ones are one of each.  Other stores ignore it.
-_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage, survives the loss
-    of executors, and is read by column."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.options(**_PLAIN_FILES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch that a Python step gets at most; texts may be long.
+BATCH_ROWS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

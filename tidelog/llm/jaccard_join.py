@@ -13,12 +13,21 @@
    text is at least ``threshold`` alike, its own copies included) and its group, the
    component under exact links.
 
+Keys that hold many rows (a text with many copies, a hub of candidates, a large component)
+are joined by ``join_by_key``: their rows stay where they are.  Verifying a component of k
+different texts costs k * k / 2 comparisons, spread over its pairs of blocks, and its sets
+are sent once to each of its k / ``BLOCK_TEXTS`` blocks; exact copies cost nothing there.
+
 Defined results: null text counts as empty; texts of fewer than ``size`` words have one
-shingle of all their words; repeated rows are copies of each other; a null id stays null.
+shingle of all their words; repeated rows are copies of each other; a null id stays null;
+of equal candidates for a name the least id counts, nulls last; a long text has one set of
+all its shingles; only doc_id and text are read, so other columns' names don't matter;
+no rows give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, ids_and_texts, map_batches, read_table, texts_of, written
-from .components import connected_components
+from .components import connected_components, hot_above, join_by_key
 from .textvec import mix, shingles, word_hashes
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Shingles and texts that one block of a large component holds.
-BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 400
+BLOCK_SHINGLES, BLOCK_TEXTS = 600_000, 1500
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -51,8 +60,6 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
 
 def class_keys(texts: list[str | None], words: np.ndarray, at: np.ndarray) -> list[bytes]:
     """16 bytes that equal word sequences share."""
-    import hashlib
-
     out = []
     for i, t in enumerate(texts):
         if at[i + 1] > at[i]:
@@ -83,14 +90,34 @@ def band_hashes(sets: np.ndarray, at: np.ndarray, bands: int, rows: int, seed: i
 
 def alike(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each text of ``sets``, the indexes of the texts of ``other`` (of the later texts
-    of ``sets``, where None) whose Jaccard similarity is at least the threshold."""
+    of ``sets``, where None) whose Jaccard similarity is at least the threshold.
+
+    What two texts share is counted over an inverted index.  Where texts are near copies of
+    the first one, they are held as their differences from it (what they lack and what they
+    add), which gives the same counts from far shorter lists."""
     both = sets if other is None else [*sets, *other]
     sizes = np.array([len(s) for s in both])
     ids, index = np.unique(np.concatenate(both), return_inverse=True)
     owner = np.repeat(np.arange(len(both)), sizes)
+    base, lack = 0, np.zeros(len(both), dtype=np.int64)
+    pivot = index[: sizes[0]]
+    of_pivot = np.zeros(len(ids), dtype=bool)
+    of_pivot[pivot] = True
+    kept = np.bincount(owner[of_pivot[index]], minlength=len(both))
+    if 2 * int((sizes + len(pivot) - 2 * kept).sum()) < int(sizes.sum()):
+        base, lack = len(pivot), len(pivot) - kept
+        lists, at = [], np.concatenate([[0], np.cumsum(sizes)])
+        for i in range(len(both)):
+            mine = index[at[i] : at[i + 1]]
+            had = of_pivot[mine]
+            lists.append(np.concatenate([mine[~had], np.setdiff1d(pivot, mine[had], assume_unique=True)]))
+        lengths = np.array([len(x) for x in lists])
+        index, owner = np.concatenate(lists), np.repeat(np.arange(len(both)), lengths)
+    else:
+        lengths = sizes
     order = np.argsort(index, kind="stable")
     holders, begin = owner[order], np.searchsorted(index[order], np.arange(len(ids) + 1))
-    at = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([[0], np.cumsum(lengths)])
     low = 0 if other is None else len(sets)
     deg = np.diff(begin)
     for i in range(len(sets)):
@@ -98,7 +125,7 @@ def alike(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: flo
         n = deg[mine]
         to = np.cumsum(n)
         where = np.repeat(begin[mine] - (to - n), n) + np.arange(to[-1] if len(to) else 0)
-        common = np.bincount(holders[where], minlength=len(both))
+        common = np.bincount(holders[where], minlength=len(both)) + (base - lack[i] - lack)
         j = np.arange(i + 1 if other is None else low, len(both))
         share = common[j]
         found = j[share >= threshold * (sizes[i] + sizes[j] - share) - 1e-9]
@@ -157,14 +184,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 yield unpacked()
                 rows = []
             last = r[:3]
-            rows.append(r)
+            if not rows or rows[-1][3] != r[3]:  # repeated rows of one text come once
+                rows.append(r)
     if rows:
         yield unpacked()
 
 
 def keyed_rows(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, n, bands) of every row: the class's key, the number of shingles and
-    the hashes of the bands."""
+    """(doc_id, digest, key, n, bands) of every row: the text's MD5, the class's key, the number
+    of shingles and the hashes of the bands."""
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts_of(batch)
@@ -172,9 +200,10 @@ def keyed_rows(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         sets, to = shingles(words, at, size)
         b = band_hashes(sets, to, bands, rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * bands), pa.array(b.ravel()))
-        return pa.record_batch([batch.column(0), pa.array(class_keys(t, words, at), pa.binary()), pa.array(np.diff(to)), lists], names=["doc_id", "key", "n", "bands"])
+        digest = pa.array([hashlib.md5((x or "").encode()).digest() for x in t], pa.binary())
+        return pa.record_batch([batch.column(0), digest, pa.array(class_keys(t, words, at), pa.binary()), pa.array(np.diff(to)), lists], names=["doc_id", "digest", "key", "n", "bands"])
 
-    return map_batches(ids_and_texts(docs), signed, "doc_id long, key binary, n long, bands array<long>")
+    return map_batches(ids_and_texts(docs), signed, "doc_id long, digest binary, key binary, n long, bands array<long>")
 
 
 def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, keep_rows: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -185,29 +214,32 @@ def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRES
     signed = keyed_rows(docs, size, bands, rows)
     if keep_rows:
         signed = written(signed, "signed")
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    classes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "key", "first.doc_id", "first.digest", "copies", "n", "bands")
+    classes = written(classes, "classes")
     in_band = classes.where("n > 0").select("node", F.posexplode("bands").alias("band", "hash"))
     least = in_band.groupBy("band", "hash").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").drop("most")
     stars = in_band.join(least, ["band", "hash"]).where("node != v").select(F.col("node").alias("u"), "v")
     candidates = connected_components(stars, "candidates")
-    member = written(candidates.join(classes.select("node", "key", "doc_id", "copies", "n"), "node"), "members")
+    member = written(candidates.join(classes.select("node", "key", "doc_id", "digest", "copies", "n"), "node"), "members")
+    most = hot_above(member.count())
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
-    member = member.join(member.groupBy("root").agg(blocks.alias("blocks")), "root")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "_id")
+    member = join_by_key(member, member.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("_size")), "root", "_size", most)
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest")
     names = ["root", "node", "copies", "blocks", "block"]
 
     def with_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts_of(batch)
         words, at = word_hashes(t)
         sets, to = shingles(words, at, size)
-        want = batch.column(batch.schema.get_field_index("key")).to_pylist()
-        keep = pa.array([k == w for k, w in zip(class_keys(t, words, at), want, strict=True)])
         packed = pa.array([np.unique(sets[to[i] : to[i + 1]]).tobytes() for i in range(len(t))], pa.binary())
-        return pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in names] + [packed], names=[*names, "shingles"]).filter(keep)
+        return pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in names] + [packed], names=[*names, "shingles"])
 
     # members grow with the corpus: always shuffled, never broadcast
-    chosen = ids_and_texts(docs).join(member.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key", *names)
+    text = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_digest"))
+    chosen = ids_and_texts(docs).join(member.hint("merge"), same).select("text", *names)
     sets = map_batches(chosen, with_sets, "root long, node long, copies long, blocks int, block int, shingles binary")
     # a block meets every block of its component, itself included
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -215,21 +247,14 @@ def classes_and_rows(docs: DataFrame, size: int = SIZE, threshold: float = THRES
     dealt = paired.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def once() -> Iterator[tuple]:
-            for node, *rest in _groups(batches):
-                first = np.concatenate([[True], node[1:] != node[:-1]])  # repeated rows of one text
-                keep = np.flatnonzero(first)
-                copies, sets, block, a, b = rest
-                yield node[keep], copies[keep], [sets[i] for i in keep], block[keep], a, b
-
-        yield from _verified(once(), threshold)
+        yield from _verified(_groups(batches), threshold)
 
     found = written(dealt.mapInArrow(verify, "node long, links long, parent long"), "verified")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("parent").alias("v")), "groups")
     tied = written(groups.join(classes.select("node", "doc_id"), "node"), "tied")
-    least = tied.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m"))
-    named = tied.join(least, "root").select("node", F.col("m.doc_id").alias("class_id"), (F.col("m.node") == F.col("node")).alias("keeper"))
+    least = tied.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m"), F.count("*").alias("_size"))
+    named = join_by_key(tied, least, "root", "_size", most).select("node", F.col("m.doc_id").alias("class_id"), (F.col("m.node") == F.col("node")).alias("keeper"))
     info = classes.select("node", "key", F.col("doc_id").alias("copy_class"), "copies").join(counts, "node", "left").join(named, "node", "left")
     info = info.select("key", "copy_class", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("class_id", "copy_class").alias("class_id"), F.coalesce("keeper", F.lit(True)).alias("keeper"))
     return info, signed.select("doc_id", "key")
@@ -239,7 +264,9 @@ def links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recal
     """(doc_id, class_id, copy_class, copies, links) of every row of docs; class_id is the
     least doc_id of the group of linked documents, copy_class that of its equal texts."""
     info, rows = classes_and_rows(docs, size, threshold, recall)
-    return rows.join(info, "key").select("doc_id", "class_id", "copy_class", "copies", (F.col("others") + F.col("copies") - 1).alias("links"))
+    info = written(info, "info")
+    info = info.withColumn("_size", F.col("copies"))
+    return join_by_key(rows, info, "key", "_size", hot_above(rows.count())).select("doc_id", "class_id", "copy_class", "copies", (F.col("others") + F.col("copies") - 1).alias("links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +274,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least id (of repeated rows one; of a
-    group whose ids are all null, one).  All columns stay."""
+    """One document of each group: that with the least id (of rows that share id and words the
+    one with the least text, of repeated rows one; of a group whose ids are all null, one).
+    All columns stay."""
     info, _ = classes_and_rows(docs, keep_rows=False)
     key, row, n = fresh(docs, "_key", "_row", "_n")
     named = lambda k, doc_id: F.concat(k, F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"))
@@ -260,5 +288,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
     keyed = map_batches(docs, with_key, schema).withColumn(row, named(F.col(key), F.col("doc_id")))
-    once = keyed.join(kept, row, "left_semi").withColumn(n, F.row_number().over(W.partitionBy(row).orderBy(row)))
+    once = keyed.join(kept, row, "left_semi").withColumn(n, F.row_number().over(W.partitionBy(row).orderBy("text")))
     return once.where(F.col(n) == 1).select(docs.columns)
