@@ -30,6 +30,14 @@ def test_gradients_equal_finite_differences():
             assert g[name][at] == pytest.approx((up - down) / (2 * eps), rel=1e-4, abs=1e-7)
 
 
+def test_plain_states_equal_those_of_training():
+    rng = np.random.default_rng(4)
+    p = pii.first_weights(rng)
+    x = rng.integers(0, len(p["wxf"]), (9, 30))
+    h, _, _ = pii._states(x, p)
+    assert np.allclose(pii.emissions(x.T, p), h @ p["wo"] + p["bo"])
+
+
 def best_path(score, trans):
     paths = product(range(score.shape[1]), repeat=len(score))
     return max(paths, key=lambda y: sum(score[t, k] for t, k in enumerate(y)) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
@@ -84,10 +92,11 @@ def test_evidence_is_the_weighted_mean_of_all_windows(model):
         n = min(pii.WINDOW, len(x) - start)
         window = np.full(pii.WINDOW, pii._BLANK)
         window[:n] = x[start : start + n]
-        e = pii.emissions(window[None], model)[0]
+        e = pii.emissions(window[:, None], model)[:, 0]
         total[start : start + n] += (e * w[:, None])[:n]
         share[start : start + n] += w[:n]
-    assert np.allclose(score, (total / share[:, None])[: len(text)], atol=1e-4)
+    n = len(text)
+    assert np.allclose(score, total[:n] / share[:n, None], atol=1e-4)
 
 
 def test_added_spans_on_held_out_forms(model, held):

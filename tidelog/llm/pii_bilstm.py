@@ -192,10 +192,41 @@ def _states(x: np.ndarray, p: dict, keep: bool = False):
     return np.concatenate([forward, backward[::-1]], axis=2), cf, cb
 
 
+def _plain_states(x: np.ndarray, p: dict, d: str) -> np.ndarray:
+    """What _lstm gives, for class numbers (time, batch), without what training needs: gates lie
+    apart, and the halves of the sigmoids are in the weights."""
+    steps, n = x.shape
+    kind, size = p["wh" + d].dtype, p["wh" + d].shape[0]
+    apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, size).transpose(1, 0, 2))
+    half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], kind), size)
+    wx, wh = apart((p["wx" + d] + p["b" + d]) * half), apart(p["wh" + d] * half * kind.type(0.5))
+    out = np.empty((steps, n, size), kind)  # twice the hidden states
+    h, c = np.zeros((n, size), kind), np.zeros((n, size), kind)
+    z, g, t = np.empty((4, n, size), kind), np.empty((4, n, size), kind), np.empty((n, size), kind)
+    for k in range(steps):
+        np.matmul(h, wh, out=z)
+        np.take(wx, x[k], axis=1, out=g, mode="clip")
+        z += g
+        np.tanh(z, out=z)
+        z[:3] += 1
+        c *= z[1]
+        np.multiply(z[0], z[3], out=t)
+        c += t
+        c *= 0.5
+        np.tanh(c, out=t)
+        h = out[k]
+        np.multiply(t, z[2], out=h)
+    return out
+
+
 def emissions(x: np.ndarray, p: dict) -> np.ndarray:
-    """(batch, time, tag) scores of windows of class numbers."""
-    h, _, _ = _states(x, p)
-    return (h @ p["wo"] + p["bo"]).transpose(1, 0, 2)
+    """(time, batch, tag) scores of windows of class numbers (time, batch)."""
+    wo = p["wo"] * p["wo"].dtype.type(0.5)
+    size = len(wo) // 2
+    out = _plain_states(x, p, "f") @ wo[:size]
+    out += (_plain_states(np.ascontiguousarray(x[::-1]), p, "b") @ wo[size:])[::-1]
+    out += p["bo"]
+    return out
 
 
 def loss_and_gradients(x: np.ndarray, y: np.ndarray, p: dict) -> tuple[float, dict]:
@@ -393,29 +424,44 @@ def holds(kind: str, s: str) -> bool:
     return bool(name and at) and "@" not in host and all(host.split(".")) and "." in host and not any(c.isspace() for c in s)
 
 
+def _windowed(flat: np.ndarray) -> np.ndarray:
+    """A writable view (window, place, ...) of the windows at multiples of STEP."""
+    n = max(0, (len(flat) - WINDOW) // STEP + 1)
+    return np.lib.stride_tricks.as_strided(flat, (n, WINDOW, *flat.shape[1:]), (STEP * flat.strides[0], *flat.strides))
+
+
 def evidence(texts: list[str], p: dict) -> tuple[np.ndarray, np.ndarray]:
     """(scores, at): (character, tag) scores of all texts end to end; text i has
     scores[at[i]:at[i + 1]].  Every window of every text is computed."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     windows = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STEP)), 0)
-    room = np.where(sizes > 0, (windows - 1) * STEP + WINDOW, 0)
+    room = np.where(sizes > 0, (windows + 1) * STEP, 0)  # every window begins at a multiple of STEP
     off = np.concatenate([[0], np.cumsum(room)])
     first = np.concatenate([[0], np.cumsum(windows)])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    x = np.full(off[-1], _BLANK, dtype=np.int64)
+    x = np.full(off[-1], _BLANK, dtype=np.intp)
     where = np.repeat(off[:-1] - at[:-1], sizes) + np.arange(at[-1])
     x[where] = classes("".join(texts))
     number = np.arange(first[-1]) - np.repeat(first[:-1], windows)
-    start = np.repeat(off[:-1], windows) + number * STEP
+    start = np.repeat(off[:-1], windows) // STEP + number
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    total, share = np.zeros((off[-1], len(p["bo"])), dtype=np.float32), np.zeros(off[-1], dtype=np.float32)
+    total = np.zeros((off[-1], len(p["bo"])), dtype=np.float32)
+    seen = _windowed(x)
+    summed = _windowed(total)
     for turn in (0, 1):  # windows of the same turn do not overlap
         mine = start[number % 2 == turn]
-        for a in range(0, len(mine), 2048):
-            spots = mine[a : a + 2048, None] + np.arange(WINDOW)
-            total[spots] += emissions(x[spots], p) * weight[:, None]
-            share[spots] += weight
-    return (total[where] / share[where, None]).astype(np.float64), at
+        for a in range(0, len(mine), 768):
+            some = mine[a : a + 768]
+            e = emissions(np.ascontiguousarray(seen[some].T), p)
+            summed[some] += e.transpose(1, 0, 2) * weight[:, None]
+    # what the windows that hold a character weigh together, by its place
+    place = np.arange(at[-1]) - np.repeat(at[:-1], sizes)
+    w = weight
+    last = np.repeat(windows - 1, sizes)
+    own = np.minimum(place // STEP, last)
+    here = place - own * STEP
+    share = w[here] + np.where((own > 0) & (here < WINDOW - STEP), w[np.minimum(here + STEP, WINDOW - 1)], 0)
+    return total[where] / share[:, None], at
 
 
 def anchored(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -429,8 +475,8 @@ def anchored(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
         stay = trans[y, y] - trans[0, 0]
         others = [a for a in range(k) if a != y]
         gain = max(0.0, (trans[others, y] - trans[others, 0]).max()) + max(0.0, (trans[y, others] - trans[0, others]).max()) - stay
-        lost = score[:, 0] - score[:, y] - stay
-        c = np.concatenate([[0.0], np.cumsum(lost)])
+        c = np.zeros(n + 1)
+        np.cumsum(score[:, 0] - score[:, y] - stay, out=c[1:], dtype=np.float64)
         before = np.maximum.accumulate(c[:-1])
         after = np.minimum.accumulate(c[:0:-1])[::-1]
         out &= after - before > gain + 1e-6
@@ -454,7 +500,7 @@ def decode(score: np.ndarray, trans: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = end - begin
     to = np.concatenate([[0], np.cumsum(n)])
     where = np.repeat(begin - to[:-1], n) + np.arange(to[-1])
-    best = viterbi(score[where], trans, to)
+    best = viterbi(score[where].astype(np.float64), trans, to)
     out[where[best > 0]] = best[best > 0]  # an anchored character may close two stretches
     return out
 
