@@ -41,22 +41,29 @@ def rotate_right(x: Column, n: int) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of "4k", "8MB" or "1GiB" (base 1024); anything else is an error."""
-    t = F.lower(F.trim(text))
-    number, unit = F.regexp_extract(t, r"^([0-9]+)\s*([kmgtp]?)(i?b)?$", 1), F.regexp_extract(t, r"^([0-9]+)\s*([kmgtp]?)(i?b)?$", 2)
+    """Bytes of "4k", "8MB" or "1GiB" (base 1024, either case); anything else, blanks and a
+    unit of bytes alone included, is an error, and so is a number beyond a long."""
+    form = r"(?i)^([0-9]+)(?:([kmgtp])i?b?)?$"
+    number, unit = F.regexp_extract(text, form, 1), F.lower(F.regexp_extract(text, form, 2))
     power = F.lit(0)
     for u, p in _UNITS.items():
         power = F.when(unit == u, F.lit(p)).otherwise(power)
+    size = number.cast("decimal(38,0)") * F.pow(F.lit(1024.0), power).cast("decimal(20,0)")
     bad = F.raise_error(F.concat(F.lit("not a size: "), text)).cast("long")
-    return F.when(number == "", bad).otherwise(F.expr("1") * number.cast("long") * F.pow(F.lit(1024.0), power).cast("long"))
+    return F.when(text.rlike(form) & (size <= (1 << 63) - 1), size.cast("long")).when(text.isNotNull(), bad)
 
 
 def pretty_size(n: Column) -> Column:
-    """"512 B", "1.5 KB" ... with one decimal from KB on."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for u, p in list(_UNITS.items())[1:]:
-        out = F.when(n >= 1024**p, F.concat(F.format_number(n / float(1024**p), 1), F.lit(f" {u.upper()}B"))).otherwise(out)
-    return out
+    """Bytes as "512B", "1.5KB" or "0.9765625KB": divided by 1024, to 12 decimals, while the whole
+    part has more than three characters; beyond the unit P, an error."""
+    v, unit = n.cast("double"), F.lit("")
+    wide = lambda x: F.length(F.floor(x).cast("string")) > 3
+    for u in [x.upper() for x in _UNITS if x]:
+        again = wide(v)
+        unit = F.when(again, F.lit(u)).otherwise(unit)
+        v = F.when(again, F.rint(v / 1024.0 * 1e12) / 1e12).otherwise(v)
+    text = F.rtrim(F.rtrim(v.cast("decimal(38,12)").cast("string"), F.lit("0")), F.lit("."))
+    return F.when(wide(v), F.raise_error(F.lit("the size has no unit"))).otherwise(F.concat(text, unit, F.lit("B")))
 
 
 @F.pandas_udf(T.BinaryType())

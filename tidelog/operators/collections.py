@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import running_sum
+from tidelog.operators.ordered import has_hot_key, running_sum
 
 # -- any collection
 
@@ -97,20 +97,22 @@ def checked_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(F.isnan("score"), bad).when(F.col("score") == 0, F.lit(0.0)).otherwise(F.col("score")))
 
 
-def rank_range(view: DataFrame, start: int, stop: int, reverse: bool = False, spread: bool = False) -> DataFrame:
+def rank_range(view: DataFrame, start: int, stop: int, reverse: bool = False, spread: bool | None = None) -> DataFrame:
     """Members of ranks [start, stop] of every domain, with ``rank``; negative ranks count
     from the end.  The size of a domain comes from the same window partition, so there is
     one shuffle.  ``spread`` ranks domains that are too large for one task by ranges of
-    scores."""
+    scores; if it is not given, a count of the domains' members decides.  Ranks from the front
+    need neither: tasks keep their own first members."""
     order = [F.desc("score"), F.desc("member")] if reverse else ["score", "member"]
-    if spread:
+    front = start >= 0 and stop >= 0
+    if (not front and has_hot_key(view, ["domain"])) if spread is None else spread:
         ranked = running_sum(view, ["domain"], order, F.lit(1), "_r").withColumn("rank", (F.col("_r") - 1).cast("int")).drop("_r")
         sizes = view.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
         low = F.greatest(F.lit(0), F.lit(start) if start >= 0 else F.col("_n") + start)
         high = F.lit(stop) if stop >= 0 else F.col("_n") + stop
         return ranked.join(sizes, "domain").where((F.col("rank") >= low) & (F.col("rank") <= high)).drop("_n").select(*view.columns, "rank")
     number = F.row_number().over(W.partitionBy("domain").orderBy(*order))
-    if start >= 0 and stop >= 0:  # a plain limit on row numbers, so that tasks drop rows before the shuffle
+    if front:  # a plain limit on row numbers, so that tasks drop rows before the shuffle
         few = view.withColumn("_r", number).where((F.col("_r") <= stop + 1) & (F.col("_r") > start))
         return few.withColumn("rank", F.col("_r") - 1).drop("_r")
     rank = number - 1

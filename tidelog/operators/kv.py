@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.operators.log import as_of, current, dead_prefix, newest, superseded
-from tidelog.operators.ordered import running_sum
+from tidelog.operators.ordered import has_hot_key, running_sum
 from tidelog.timebase import expired, expiry_of
 
 __all__ = ["as_of", "current", "dead_prefix", "newest", "superseded"]
@@ -127,10 +127,11 @@ def read_with(view: DataFrame, **outputs: Column) -> DataFrame:
 # -- folds
 
 
-def increments(deltas: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
+def increments(deltas: DataFrame, keys: list[str], spread: bool | None = None) -> DataFrame:
     """The value after every increment, in ``seq`` order; integer overflow is an error.
-    ``spread`` deals keys that are too large for one task over ranges of addresses."""
-    if spread:
+    ``spread`` deals keys that are too large for one task over ranges of addresses; if it is not
+    given, a count of the keys' rows decides."""
+    if has_hot_key(deltas, keys) if spread is None else spread:
         return running_sum(deltas, keys, ["seq"], F.col("delta"), "after")
     by = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     return deltas.withColumn("after", F.sum("delta").over(by))
@@ -146,7 +147,17 @@ def increment_totals(deltas: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Functions:
-    """A read-modify-write fold: override ``initial`` and ``update`` (and ``valid``)."""
+    """A read-modify-write fold: override ``initial`` and ``update`` (and ``valid``).
+
+    A fold that doesn't depend on the order of inputs may override ``merge`` of two states as
+    well: then every task folds its own rows first, and only states are shuffled.  One that is a
+    built-in aggregate returns it from ``aggregate``, and no Python runs at all."""
+
+    #: merge(a, b) of two states; None if the fold depends on the order.
+    merge = None
+
+    def aggregate(self) -> Column | None:
+        return None
 
     def initial(self, key, value):
         raise NotImplementedError
@@ -158,10 +169,47 @@ class Functions:
         return True
 
 
+#: States that a task holds before it passes them on.
+_STATES = 100_000
+
+
+def _folded(initial, update, valid, whole: bool = False):
+    """A mapInPandas function: states by key of a task's rows, passed on when there are many.
+    With ``whole``, rows are sorted by key, and each key comes out once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        last = None
+        for pdf in batches:
+            for k, v in zip(pdf["key"], pdf["value"], strict=True):
+                if whole and last != k and len(states) >= _STATES:
+                    yield pd.DataFrame(list(states.items()), columns=["key", "value"])
+                    states = {}
+                last = k
+                if valid(k, v):
+                    states[k] = initial(k, v) if k not in states else update(states[k], k, v)
+            if not whole and len(states) >= _STATES:
+                yield pd.DataFrame(list(states.items()), columns=["key", "value"])
+                states = {}
+        if states:
+            yield pd.DataFrame(list(states.items()), columns=["key", "value"])
+
+    return run
+
+
 def read_modify_write(inputs: DataFrame, functions: Functions, schema: T.DataType) -> DataFrame:
     """(key, value): each key's inputs folded in ``seq`` order.  Sorted partitions are
-    streamed, so a key's inputs are never held at once."""
+    streamed, so a key's inputs are never held at once.  ``Functions`` says how folds that
+    do not depend on the order avoid the sort and the shuffle of all inputs."""
+    built_in = functions.aggregate()
+    if built_in is not None:
+        return inputs.groupBy("key").agg(built_in.cast(schema).alias("value"))
     key_type = inputs.schema["key"].dataType
+    if functions.merge is not None:
+        states = T.StructType([T.StructField("key", key_type), T.StructField("value", schema)])
+        partial = inputs.select("key", "value").mapInPandas(_folded(functions.initial, functions.update, functions.valid), states)
+        always = lambda k, v: True
+        return partial.repartition("key").sortWithinPartitions("key").mapInPandas(_folded(lambda k, v: v, lambda s, k, v: functions.merge(s, v), always, whole=True), states)
     out_schema = T.StructType([T.StructField("key", key_type), T.StructField("value", schema)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,11 +231,18 @@ def read_modify_write(inputs: DataFrame, functions: Functions, schema: T.DataTyp
     return inputs.select("key", "seq", "value").repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, out_schema)
 
 
-def fold(inputs: DataFrame, initial: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
-    """The same inside the engine for keys with moderate histories: an ordered array and a
-    higher-order aggregate."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"])
-    return inputs.groupBy("key").agg(F.aggregate(items, initial, merge).alias("value"))
+def fold(inputs: DataFrame, initial: Column, update: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column], bits: int = 16) -> DataFrame:
+    """The same inside the engine: inputs are folded by ranges of 2**bits addresses, and the
+    ranges' states, in order, by ``combine``, so no array is longer than a range's inputs or
+    a key's ranges.  ``initial`` must be neutral: combine(initial, x) is x."""
+
+    def ordered(rows: DataFrame, keys: list[str], f: Callable[[Column, Column], Column]) -> DataFrame:
+        items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"])
+        return rows.groupBy(*keys).agg(F.aggregate(items, initial, f).alias("value"))
+
+    near = ordered(inputs.withColumn("_r", F.shiftright("seq", bits)), ["key", "_r"], update).withColumnRenamed("_r", "seq")
+    near = ordered(near.withColumn("_r", F.shiftright("seq", bits)), ["key", "_r"], combine).withColumnRenamed("_r", "seq")
+    return ordered(near, ["key"], combine)
 
 
 def compare_and_swap(attempts: DataFrame, by: str = "address") -> DataFrame:

@@ -96,7 +96,65 @@ def dead_prefix(log: DataFrame, keys: list[str], now: int | None = None) -> Data
     live = current(log, keys, now).agg(F.min("seq").alias("m"))
     last = log.agg((F.max("seq") + 1).alias("tail"))
     begin = live.crossJoin(last).select(F.coalesce("m", "tail").alias("new_begin"))  # one row each
-    return log.join(F.broadcast(begin), F.col("seq") < F.col("new_begin"), "right").groupBy("new_begin").agg(F.count("seq").alias("reclaimed"))
+    below = log.select("seq").crossJoin(F.broadcast(begin)).agg(F.count_if(F.col("seq") < F.col("new_begin")).alias("reclaimed"))
+    return begin.crossJoin(below)
+
+
+def compact(log: DataFrame, keys: list[str], path: str, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """The log rewritten without superseded records, or those of [begin, end), as a table of its
+    own that readers may switch to; views derived from it are the same.  Tombstones go too if
+    the whole log is rewritten; in a range they may still hide what lies outside it."""
+    live = newest(log.select(*keys, "seq", "is_tombstone"), keys)
+    inside = F.lit(True)
+    if begin is None and end is None:
+        live = live.where(~F.col("is_tombstone"))
+    if begin is not None:
+        inside = inside & (F.col("seq") >= begin)
+    if end is not None:
+        inside = inside & (F.col("seq") < end)
+    kept = log.where(inside).join(live.select("seq"), "seq", "left_semi").unionByName(log.where(~inside))
+    kept.select(log.columns).write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def reclaim(log: DataFrame, path: str, head: int | None = None, tail: int | None = None, hole: tuple[int, int] | None = None) -> DataFrame:
+    """The log rewritten without what lies below ``head``, at or above ``tail``, or in the half-open
+    range ``hole``."""
+    kept = log
+    if head is not None:
+        kept = kept.where(F.col("seq") >= head)
+    if tail is not None:
+        kept = kept.where(F.col("seq") < tail)
+    if hole is not None:
+        kept = kept.where((F.col("seq") < hole[0]) | (F.col("seq") >= hole[1]))
+    kept.write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def fold_records(log: DataFrame, start: int, handler, schema) -> DataFrame:
+    """A replay handler's rows: ``handler(iterator of record dicts)`` yields rows of ``schema`` for the
+    records of one range of addresses, in order; ranges are handled beside each other."""
+    import pandas as pd
+
+    ranged = scan(log, start).repartitionByRange("seq").sortWithinPartitions("seq")
+    names = ranged.columns
+
+    def run(batches):
+        def records():
+            for pdf in batches:
+                for values in pdf.itertuples(index=False, name=None):
+                    yield dict(zip(names, values, strict=True))
+
+        rows: list = []
+        for row in handler(records()):
+            rows.append(row)
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    return ranged.mapInPandas(run, schema)
 
 
 def dense_index(df: DataFrame, order: list[str], start: int = 1, name: str = "idx") -> DataFrame:

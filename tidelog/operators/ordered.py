@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from tidelog.session import settled
 
 _BEFORE = (W.unboundedPreceding, -1)
+#: More rows of one key than this do not go through one task.
+HOT_ROWS = 5_000_000
+
+
+def has_hot_key(df: DataFrame, keys: list[str], most: int | None = None) -> bool:
+    """Whether a key has more rows than one task should sort: a count with partial sums, of
+    which one row at most reaches the driver."""
+    most = HOT_ROWS if most is None else most
+    counts = df.groupBy(*keys) if keys else df.groupBy(F.lit(1))
+    return bool(counts.count().where(F.col("count") > most).take(1))
 
 
 def _ranged(df: DataFrame, group: list[str], order: list) -> DataFrame:

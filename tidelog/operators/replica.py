@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelog.functions.numeric import normal_tail
-from tidelog.operators.ordered import running_sum
+from tidelog.operators.ordered import has_hot_key, running_sum
 from tidelog.timebase import floor_div
 
 
@@ -40,8 +36,10 @@ def pull_differences(peer: DataFrame, key: str, per_block: int, diff: DataFrame)
 
 def gap_statistics(beats: DataFrame, window: int = 12) -> DataFrame:
     """(node, last, n, mean, sd) of the last ``window`` gaps between beats (node, at)."""
-    by = W.partitionBy("node").orderBy("at")
-    gaps = beats.withColumn("gap", F.col("at") - F.lag("at").over(by)).withColumn("back", F.row_number().over(W.partitionBy("node").orderBy(F.desc("at"))))
+    by = W.partitionBy("node").orderBy(F.desc("at"))
+    # the 13 last times hold 12 gaps; equal times are alike, so ties decide nothing
+    gaps = beats.select("node", "at", F.row_number().over(by).alias("back")).where(F.col("back") <= window + 1)
+    gaps = gaps.withColumn("gap", F.col("at") - F.lead("at").over(by))
     few = gaps.where(F.col("back") <= window)
     return few.groupBy("node").agg(F.max("at").alias("last"), F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"))
 
@@ -56,50 +54,41 @@ def phi_accrual(beats: DataFrame, now: int, window: int = 12, least: int = 3) ->
 
 
 def hybrid_clock(events: DataFrame, now: str = "now") -> DataFrame:
-    """(physical, logical) after each local event of a node, in ``seq`` order: the highest
-    clock so far, and the place in the run of events that share it."""
-    by = W.partitionBy("node").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    high = events.withColumn("physical", F.max(now).over(by))
-    return high.withColumn("logical", F.row_number().over(W.partitionBy("node", "physical").orderBy("seq")) - 1)
-
-
-def hybrid_receive(messages: DataFrame) -> DataFrame:
-    """(physical, logical) after each event (node, seq, now, remote_physical,
-    remote_logical; null for local ones), a serial merge by node over sorted partitions."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node, begun, p, c = None, False, 0, 0
-        for pdf in batches:
-            ps, cs = [], []
-            for who, now, rp, rc in zip(pdf["node"], pdf["now"], pdf["remote_physical"], pdf["remote_logical"], strict=True):
-                if not begun or who != node:
-                    node, begun, p, c = who, True, 0, -1
-                remote = None if pd.isna(rp) else int(rp)
-                top = max(p, int(now), remote if remote is not None else 0)
-                if top == p and remote == top:
-                    c = max(c, int(rc)) + 1
-                elif top == p:
-                    c += 1
-                elif remote == top:
-                    c = int(rc) + 1
-                else:
-                    c = 0
-                p = top
-                ps.append(p)
-                cs.append(c)
-            yield pdf.assign(physical=ps, logical=cs)
-
-    schema = T.StructType([*messages.schema.fields, T.StructField("physical", T.LongType()), T.StructField("logical", T.LongType())])
-    return messages.repartition("node").sortWithinPartitions("node", "seq").mapInPandas(run, schema)
-
-
-def allocate_ids(requests: DataFrame, n: Column, spread: bool = False) -> DataFrame:
+    """(physical, logical) after each local event of a node, in ``seq`` order.  The clock starts
+    at (0, 0): a later wall time sets (now, 0), any other counts the logical part up."""
+    local = events.withColumns({"remote_physical": F.lit(None).cast("long"), "remote_logical": F.lit(None).cast("long")})
+    return hybrid_receive(local, now).drop("remote_physical", "remote_logical")
+
+
+def hybrid_receive(messages: DataFrame, now: str = "now") -> DataFrame:
+    """(physical, logical) after each event (node, seq, now, remote_physical, remote_logical;
+    null for local ones) of clocks that start at (0, 0).
+
+    The physical part is the greatest time seen so far.  Where it rises, the logical part is the
+    remote one plus 1 if the remote time is that greatest, else 0; where it stays, it is the
+    greater of its own and the remote logical part (however old the remote time is) plus 1.
+    Within the run of events that share a physical part that is a running maximum: the k-th is
+    k plus the greatest of the first and of each remote part less the events before it."""
+    by = W.partitionBy("node").orderBy("seq")
+    seen = messages.withColumn("physical", F.max(F.greatest(now, F.coalesce("remote_physical", F.lit(0)), F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("node", "physical").orderBy("seq")
+    # events before this one at the same physical part; the state (0, 0) counts at 0
+    seen = seen.withColumn("_k", F.row_number().over(run).cast("long") - F.when(F.col("physical") == 0, 0).otherwise(1))
+    rises = F.when(F.col("remote_physical") == F.col("physical"), F.col("remote_logical").cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    stays = F.greatest(F.col("remote_logical").cast("long") - (F.col("_k") - 1), F.when(F.col("physical") == 0, F.lit(0).cast("long")))
+    least = F.when(F.col("_k") == 0, rises).otherwise(stays)
+    top = F.max(least).over(run.rowsBetween(W.unboundedPreceding, 0))
+    return seen.withColumn("logical", F.col("_k") + top).drop("_k")
+
+
+def allocate_ids(requests: DataFrame, n: Column, spread: bool | None = None) -> DataFrame:
     """(first_id, last_id) of contiguous blocks by key, in ``seq`` order, ids from 1; a
-    request for fewer than 1 is an error.  ``spread`` deals hot keys over ranges."""
+    request for fewer than 1 is an error.  ``spread`` deals hot keys over ranges; if it is not
+    given, a count of the keys' rows decides."""
     bad = F.raise_error(F.lit("an id block needs a count of 1 or more")).cast("long")
     r = requests.withColumn("_n", F.when(n < 1, bad).otherwise(n.cast("long")))
     end = F.sum("_n").over(W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    ended = running_sum(r, ["key"], ["seq"], F.col("_n"), "last_id") if spread else r.withColumn("last_id", end)
+    ended = running_sum(r, ["key"], ["seq"], F.col("_n"), "last_id") if (has_hot_key(requests, ["key"]) if spread is None else spread) else r.withColumn("last_id", end)
     return ended.withColumn("first_id", F.col("last_id") - F.col("_n") + 1).drop("_n")
 
 

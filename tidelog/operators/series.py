@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import fill_forward
+from tidelog.operators.ordered import fill_forward, has_hot_key
 from tidelog.timebase import window_start
 
 
@@ -40,17 +40,18 @@ def extremes(samples: DataFrame) -> DataFrame:
     return samples.groupBy("series_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def floor(samples: DataFrame, probes: DataFrame, strict: bool = False, spread: bool = False) -> DataFrame:
+def floor(samples: DataFrame, probes: DataFrame, strict: bool = False, spread: bool | None = None) -> DataFrame:
     """For each probe (series_id, t, and any other columns) the last sample at or before t
     (before t, if strict); null if there is none.  A union and one window over (series,
     time), so one shuffle and a sort instead of a range join.  ``spread`` deals series that
-    are too large for one task over ranges of time."""
+    are too large for one task over ranges of time; if it is not given, a count of the series'
+    samples decides."""
     others = [c for c in probes.columns if c not in ("series_id", "t")]
     left = samples.select("series_id", F.col("ts").alias("_t"), F.lit(1 if strict else 0).alias("_side"), "seq", F.struct("ts", "seq", "value").alias("_s"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in others))
     right = probes.select("series_id", F.col("t").alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(left.schema["_s"].dataType).alias("_s"), *others)
     by = W.partitionBy("series_id").orderBy("_t", "_side", "seq").rowsBetween(W.unboundedPreceding, 0)
     both = left.withColumn("_probe", F.lit(False)).unionByName(right.withColumn("_probe", F.lit(True)))
-    filled = fill_forward(both, ["series_id"], ["_t", "_side", "seq"], "_s", "_hit") if spread else both.withColumn("_hit", F.last("_s", ignorenulls=True).over(by))
+    filled = fill_forward(both, ["series_id"], ["_t", "_side", "seq"], "_s", "_hit") if (has_hot_key(samples, ["series_id"]) if spread is None else spread) else both.withColumn("_hit", F.last("_s", ignorenulls=True).over(by))
     return filled.where("_probe").select("series_id", F.col("_t").alias("t"), *others, F.col("_hit.ts").alias("ts"), F.col("_hit.seq").alias("seq"), F.col("_hit.value").alias("value"))
 
 
@@ -191,19 +192,28 @@ def ttl_cutoff(now: int, retention: int) -> int:
     return now - retention
 
 
+#: Ticks of a day, of a 4096th of it (21 seconds), and of one.
+_SCALES = (864_000_000_000, 210_937_500, 1)
+
+
 def byte_cutoff(sized: DataFrame, budget: int) -> DataFrame:
     """One row (cutoff): the time of the sample that covers the excess over the budget,
-    counting from the oldest; no row if there is no excess.  Sizes are first summed by
-    time bucket in parallel, then only the bucket that holds the cutoff is walked."""
-    per = sized.groupBy("ts").agg(F.sum("bytes").alias("b"))
-    width = max(1, 86_400 * 10_000_000)
-    coarse = per.groupBy(window_start("ts", width).alias("w")).agg(F.sum("b").alias("b"))  # a row a day
-    total = coarse.agg((F.sum("b") - budget).alias("excess"))
-    run = coarse.withColumn("acc", F.sum("b").over(W.orderBy("w"))).crossJoin(F.broadcast(total))
-    day = run.where((F.col("excess") > 0) & (F.col("acc") >= F.col("excess"))).groupBy("excess").agg(F.min_by(F.struct("w", (F.col("acc") - F.col("b")).alias("before")), "w").alias("d"))
-    fine = per.join(F.broadcast(day), window_start("ts", width) == F.col("d.w"))
-    acc = F.sum("b").over(W.partitionBy("d.w").orderBy("ts")) + F.col("d.before")
-    return fine.withColumn("acc", acc).where("acc >= excess").agg(F.min("ts").alias("cutoff")).where("cutoff is not null")
+    counting from the oldest; no row if there is no excess.  Sizes are summed by day with
+    partial sums; of the day that holds the cutoff by 21 seconds; of those by time: each pass
+    keeps a few rows a task.  Windows without a partition see a row a day, 4,096 rows, or the
+    times of 21 seconds."""
+    found = sized.agg((F.sum("bytes") - budget).alias("_excess")).select("_excess", F.lit(0).cast("long").alias("_before"))  # one row
+    same = F.lit(True)
+    for width in _SCALES:
+        start = window_start("ts", width)
+        some = sized.join(F.broadcast(found), same)
+        sums = some.groupBy(start.alias("_w"), "_excess", "_before").agg(F.sum("bytes").alias("_b"))
+        acc = F.sum("_b").over(W.orderBy("_w").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
+        hit = sums.withColumn("_acc", acc).where((F.col("_excess") > 0) & (F.col("_acc") >= F.col("_excess")))
+        found = hit.groupBy("_excess").agg(F.min_by(F.struct("_w", (F.col("_acc") - F.col("_b")).alias("_before")), "_w").alias("_d"))
+        found = found.select("_excess", F.col("_d._before").alias("_before"), F.col("_d._w").alias("_at"))
+        same = start == F.col("_at")
+    return found.select(F.col("_at").alias("cutoff"))
 
 
 def dense_byte_cutoffs(sized: DataFrame, threshold_seq: int) -> DataFrame:

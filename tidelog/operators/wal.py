@@ -13,9 +13,16 @@ from tidelog.operators.series import fingerprint
 
 
 def append(wal: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
-    """Entries with contiguous indexes after the log's last."""
-    last = wal.agg(F.max("idx").alias("m")).first()["m"] or 0
-    return dense_index(entries, order, last + 1, "idx")
+    """Entries with contiguous indexes after the log's last, from 1 in an empty log."""
+    last = wal.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("_last"))  # one row
+    numbered = dense_index(entries, order, 1, "idx").crossJoin(F.broadcast(last))
+    return numbered.withColumn("idx", F.col("idx") + F.col("_last")).drop("_last")
+
+
+def commit(entries: DataFrame, path: str) -> DataFrame:
+    """Writes appended entries as one job, which takes effect as a whole, and returns the log."""
+    entries.write.mode("append").parquet(path)
+    return entries.sparkSession.read.schema(entries.schema).parquet(path)
 
 
 def read_from(wal: DataFrame, start: int, head: int | None = None, limit: int | None = None) -> DataFrame:
@@ -118,23 +125,38 @@ def blob_reclaim(blobs: DataFrame) -> DataFrame:
     return blobs.where("state = 0")
 
 
-def hole_ratio(extents: DataFrame) -> DataFrame:
-    """(segment, hole_ratio): 1 - live / total bytes; 0 where a segment has no bytes."""
+def hole_ratio(extents: DataFrame, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """(segment, hole_ratio): 1 - live / total bytes, of segments [begin, end) if given; 0 where a
+    segment has no bytes."""
+    if begin is not None:
+        extents = extents.where(F.col("segment") >= begin)
+    if end is not None:
+        extents = extents.where(F.col("segment") < end)
     total = F.sum("total_bytes")
     return extents.groupBy("segment").agg(F.when(total > 0, 1 - F.sum("live_bytes") / total).otherwise(F.lit(0.0)).alias("hole_ratio"))
 
 
 def chunks(blobs: DataFrame, size: int) -> DataFrame:
-    """(object_id, chunk, data, crc): contents in frames with checksums."""
+    """(object_id, chunk, data, crc): contents in frames with checksums.  The frames are cut into an
+    array first, so a content isn't copied into each of their rows."""
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("content") / size)).cast("int")
-    each = blobs.select("object_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    data = F.substring("content", F.col("chunk") * size + 1, F.lit(size))
-    return each.select("object_id", "chunk", data.alias("data")).withColumn("crc", F.crc32("data"))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), F.substring("content", i * size + 1, F.lit(size)).alias("data")))
+    each = blobs.select("object_id", F.explode(cut).alias("c"))
+    return each.select("object_id", "c.chunk", "c.data").withColumn("crc", F.crc32("data"))
+
+
+def put_blob(blobs: DataFrame, contents: DataFrame, now: int) -> DataFrame:
+    """blobs with new objects of ``contents`` (name, content), numbered after the last one."""
+    last = blobs.agg(F.coalesce(F.max("object_id"), F.lit(0)).alias("_last"))  # one row
+    new = dense_index(contents.select("name", "content"), ["name"], 1, "_n").crossJoin(F.broadcast(last))
+    rows = {"object_id": F.col("_last") + F.col("_n"), "length": F.octet_length("content").cast("long"), "created": F.lit(now).cast("long"), "state": F.lit(0), "content": F.col("content")}
+    kinds = dict(blobs.dtypes)
+    return blobs.unionByName(new.select(*(rows[c].cast(kinds[c]).alias(c) for c in blobs.columns)))
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """(object_id, content) of verified chunks; a checksum that differs is an error."""
-    bad = F.raise_error(F.concat(F.lit("checksum differs in object "), F.col("object_id").cast("string"))).cast("string")
-    good = parts.withColumn("h", F.when(F.crc32("data") == F.col("crc"), F.hex("data")).otherwise(bad))
-    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("chunk", "h"))), lambda s: s["h"]))
-    return good.groupBy("object_id").agg(F.unhex(joined).alias("content"))
+    """(object_id, content) of verified chunks, joined as bytes; a checksum that differs is an
+    error.  An object must fit one row, as any value does."""
+    bad = F.raise_error(F.concat(F.lit("checksum differs in object "), F.col("object_id").cast("string"))).cast("binary")
+    good = parts.withColumn("data", F.when(F.crc32("data") == F.col("crc"), F.col("data")).otherwise(bad))
+    return good.groupBy("object_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk)").alias("content"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog import timebase as tb
 from tidelog.functions import frames, hashes, numeric
@@ -58,7 +59,7 @@ def _with(sql: str) -> str:
     add(sql)
     ctes = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in need]
     if not ctes:
-        return sql
+        return f"WITH RECURSIVE {sql[5:]}" if "/* recursive */" in sql else sql
     if "/* recursive */" in sql:
         return f"WITH RECURSIVE {', '.join(ctes)}, {sql[5:]}"
     return f"WITH {', '.join(ctes)}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {', '.join(ctes)} {sql}"
@@ -418,23 +419,63 @@ def kv_watch(spark, d):
     return kv.watch(kv_log(spark, d), 2000)
 
 
+class _Sum(kv.Functions):
+    def initial(self, key, value):
+        return value
+
+    def update(self, state, key, value):
+        return state + value
+
+    def aggregate(self):
+        return F.sum("value")
+
+
+class _Farthest(kv.Functions):
+    """The value farthest from 150,000, the greater of two as far: any order gives the same."""
+
+    def initial(self, key, value):
+        return value
+
+    def update(self, state, key, value):
+        return max(state, value, key=lambda v: (abs(v - 150_000), v))
+
+    def merge(self, a, b):
+        return self.update(a, None, b)
+
+
+class _Alternating(kv.Functions):
+    """Each value less the state before: depends on the order."""
+
+    def initial(self, key, value):
+        return value
+
+    def update(self, state, key, value):
+        return value - state
+
+    def valid(self, key, value):
+        return value > 1000
+
+
 @query("E19 K1 K2 L4", "SELECT key, round(sum(value), 4) AS value FROM kvlog GROUP BY key")
 def kv_rmw_sum(spark, d):
-    class Sum(kv.Functions):
-        def initial(self, key, value):
-            return value
+    return _rounded(kv.read_modify_write(kv_log(spark, d), _Sum(), T.DoubleType()), "value", digits=4)
 
-        def update(self, state, key, value):
-            return state + value
 
-    from pyspark.sql import types as T
+@query("E19 K1", "SELECT key, arg_max(value, (abs(value - 150000), value)) AS value FROM kvlog GROUP BY key")
+def kv_rmw_merge(spark, d):
+    return kv.read_modify_write(kv_log(spark, d), _Farthest(), T.DoubleType())
 
-    return _rounded(kv.read_modify_write(kv_log(spark, d), Sum(), T.DoubleType()), "value", digits=4)
+
+@query("E19 K1 K2", "WITH g AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM kvlog WHERE value > 1000) SELECT key, round(sum(CASE WHEN n % 2 = 1 THEN value ELSE -value END), 4) AS value FROM g GROUP BY key")
+def kv_rmw_ordered(spark, d):
+    some = kv_log(spark, d).where("value > 1000")
+    return _rounded(kv.read_modify_write(some, _Alternating(), T.DoubleType()), "value", digits=4)
 
 
 @query("E19", "SELECT key, round(max(value), 4) AS value FROM kvlog GROUP BY key")
 def kv_fold_max(spark, d):
-    return _rounded(kv.fold(kv_log(spark, d), F.lit(0.0), lambda a, v: F.greatest(a, v)), "value", digits=4)
+    more = lambda a, v: F.greatest(a, v)
+    return _rounded(kv.fold(kv_log(spark, d), F.lit(0.0), more, more), "value", digits=4)
 
 
 @query("L1 L2", """WITH a AS (SELECT key, seq, value, CASE WHEN n = 1 THEN NULL WHEN n % 3 = 0 THEN seq ELSE p END AS expected, n FROM
@@ -511,9 +552,11 @@ def set_union(spark, d):
     return co.union(members(spark, d), ["click", "view", "purchase"])
 
 
-def _two(spark, d) -> tuple[str, str]:
-    r = members(spark, d).agg(F.min("domain").alias("a"), F.max("domain").alias("b")).first()
-    return r["a"], r["b"]
+def _of_domain(spark, d, least: bool) -> DataFrame:
+    """Members of the least, or greatest, domain, which a join with its one row picks."""
+    m = members(spark, d)
+    name = m.agg((F.min("domain") if least else F.max("domain")).alias("_name"))
+    return m.join(F.broadcast(name), F.col("domain") == F.col("_name")).select(F.lit(0 if least else 1).alias("domain"), "member")
 
 
 _A, _B = "(SELECT min(event_type) FROM events)", "(SELECT max(event_type) FROM events)"
@@ -521,12 +564,12 @@ _A, _B = "(SELECT min(event_type) FROM events)", "(SELECT max(event_type) FROM e
 
 @query("H2 DJ8", f"SELECT member FROM m WHERE domain = {_A} INTERSECT SELECT member FROM m WHERE domain = {_B}")
 def set_intersect(spark, d):
-    return co.intersect(members(spark, d), *_two(spark, d))
+    return co.intersect(_of_domain(spark, d, True).unionByName(_of_domain(spark, d, False)), 0, 1)
 
 
 @query("H3 DJ9", f"SELECT member FROM m WHERE domain = {_A} EXCEPT SELECT member FROM m WHERE domain = {_B}")
 def set_difference(spark, d):
-    return co.difference(members(spark, d), *_two(spark, d))
+    return co.difference(_of_domain(spark, d, True).unionByName(_of_domain(spark, d, False)), 0, 1)
 
 
 @query("C18", "SELECT c_custkey AS member, c_custkey IN (SELECT member FROM m) AS present FROM customer")
@@ -537,7 +580,7 @@ def set_is_member(spark, d):
 
 @query("C19", f"SELECT member FROM m WHERE domain = {_A}")
 def set_members(spark, d):
-    return co.domain(members(spark, d), _two(spark, d)[0]).select("member")
+    return co.domain(_of_domain(spark, d, True), 0).select("member")
 
 
 @query("E13 E14", "SELECT domain, count(*) AS n FROM m GROUP BY domain")
@@ -570,9 +613,10 @@ def zset_remove(spark, d):
     return co.remove(zset(spark, d), zset(spark, d).where("seq % 3 = 0"), ["domain", "member"])[0].select("domain", "member", "score")
 
 
-@query("C20", "SELECT domain, member, score FROM z WHERE member = '42'")
+@query("C20", "SELECT domain, member, score FROM z WHERE member IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 7)")
 def zset_score(spark, d):
-    return zset(spark, d).where("member = '42'").select("domain", "member", "score")
+    wanted = _read(spark, d, "lineitem").where("l_linenumber = 7").join(_read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("domain"), F.col("p_partkey").cast("string").alias("member"))
+    return co.lookup(zset(spark, d), wanted, ["domain", "member"]).select("domain", "member", "score")
 
 
 @query("C21", "SELECT domain, member, score FROM z WHERE score BETWEEN 1000 AND 1500")
@@ -717,9 +761,41 @@ def queue_cancel(spark, d):
     return queue.cancel(messages(spark, d), start=5000, end=50_000)[0].select("seq", "due_ts")
 
 
-@query("J32", "SELECT seq, sum(length(payload)) OVER (ORDER BY seq) <= 20000 AS admitted FROM q")
-def queue_backlog(spark, d):
-    return queue.within_backlog(messages(spark, d), F.length("payload"), 20_000).select("seq", "admitted")
+_ADMIT = """WITH g AS (SELECT "group", cursor, (SELECT coalesce(sum(length(payload)), 0) FROM q WHERE q.seq >= cur.cursor) AS held FROM cur),
+i AS (SELECT o_orderkey AS seq, coalesce(sum(length(o_orderpriority)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM orders)"""
+
+
+def _arriving(spark, d) -> DataFrame:
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("payload"))
+
+
+def groups(spark, d) -> DataFrame:
+    c = queue.ack_cursors(state(spark, d)).select("group", "cursor")
+    return c.select("group", "cursor", F.lit(1).cast("long").alias("epoch"), F.lit(False).alias("fenced"))
+
+
+_ROOM = "(SELECT CAST(max(held) + 5000 AS BIGINT) FROM g)"
+
+
+def _room(spark, d) -> int:
+    """A limit that 5,000 bytes more than the backlog reach."""
+    s = queue.backlog_bytes(messages(spark, d), groups(spark, d), F.length("payload"))
+    return s.first()["backlog"] + 5000
+
+
+@query("J32 B16", f"{_ADMIT} SELECT seq, CASE WHEN (SELECT max(held) FROM g) + bef > {_ROOM} THEN 'rejected' ELSE 'admitted' END AS outcome FROM i")
+def queue_backlog_reject(spark, d):
+    return queue.admit(_arriving(spark, d), messages(spark, d), groups(spark, d), F.length("payload"), _room(spark, d))[0].select("seq", "outcome")
+
+
+@query("J32", f"{_ADMIT} SELECT seq, CASE WHEN (SELECT max(held) FROM g) + bef <= {_ROOM} THEN 'admitted' WHEN seq % 2 = 0 THEN 'rejected' ELSE 'waiting' END AS outcome FROM i")
+def queue_backlog_block(spark, d):
+    return queue.admit(_arriving(spark, d), messages(spark, d), groups(spark, d), F.length("payload"), _room(spark, d), "block", waited=F.col("seq") % 2 == 0)[0].select("seq", "outcome")
+
+
+@query("J32 J33", f"""{_ADMIT} SELECT "group", cursor, held + (SELECT max(bef) FROM i) > {_ROOM} - 4990 AS fenced FROM g""")
+def queue_backlog_evict(spark, d):
+    return queue.admit(_arriving(spark, d), messages(spark, d), groups(spark, d), F.length("payload"), _room(spark, d) - 4990, "evict")[1].select("group", "cursor", "fenced")
 
 
 @query("J33", 'SELECT arg_min("group", (cursor, "group")) AS "group", min(cursor) AS cursor FROM cur')
@@ -737,6 +813,81 @@ def queue_start_latest(spark, d):
     return queue.start_at(messages(spark, d), "latest")
 
 
+@query("J35 J33", """SELECT "group", CASE WHEN "group" = 'view' THEN (SELECT max(seq) + 1 FROM q) ELSE cursor END AS cursor, CASE WHEN "group" = 'view' THEN 2 ELSE 1 END AS epoch, false AS fenced FROM cur""")
+def queue_group_reset(spark, d):
+    g = groups(spark, d).withColumn("fenced", F.col("group") == "view")
+    return queue.reset_group(g, state(spark, d), "view", messages(spark, d), "latest")[0]
+
+
+@query("J35", """SELECT "group", cursor FROM cur WHERE "group" != 'view' UNION ALL SELECT 'fresh', min(seq) FROM q""")
+def queue_group_create_delete(spark, d):
+    q = messages(spark, d)
+    return queue.delete_group(queue.create_group(groups(spark, d), "fresh", q), state(spark, d), "view")[0].select("group", "cursor")
+
+
+@query("E20 J33", """SELECT "group", cursor, (SELECT count(*) FROM st WHERE st."group" = cur."group" AND NOT acked) AS pending, "group" = 'view' AS fenced,
+CASE WHEN "group" = 'view' THEN 0 ELSE (SELECT count(*) FROM q WHERE q.seq >= cur.cursor) END AS lag, CASE WHEN "group" = 'view' THEN 0 ELSE CAST((SELECT sum(length(payload)) FROM q WHERE q.seq >= cur.cursor) AS BIGINT) END AS lag_bytes FROM cur""")
+def queue_group_stats(spark, d):
+    g = groups(spark, d).withColumn("fenced", F.col("group") == "view")
+    return queue.group_stats(messages(spark, d), state(spark, d), g, F.length("payload").cast("long"))
+
+
+@query("E20", """SELECT (SELECT min(seq) FROM q) AS begin, (SELECT max(seq) + 1 FROM q) AS tail, 4000 AS flushed,
+CAST((SELECT sum(length(payload)) FROM q WHERE seq >= (SELECT min(cursor) FROM cur WHERE "group" != 'view')) AS BIGINT) AS backlog""")
+def queue_stats(spark, d):
+    g = groups(spark, d).withColumn("fenced", F.col("group") == "view")
+    return queue.queue_stats(messages(spark, d), g, F.length("payload"), 4000)
+
+
+_WAITING = """SELECT *, deliver_ms + 2000 AS next_ms, event_wait AS waiting FROM (SELECT st.*, seq % 7 = 0 AS event_wait FROM st WHERE "group" = (SELECT min(event_type) FROM events))"""
+_EXPIRED = f"""WITH s0 AS ({_WAITING}), x AS (SELECT *, NOT acked AND next_ms <= 50000 AS due FROM s0),
+y AS (SELECT *, redelivery + CASE WHEN due AND NOT waiting THEN 1 ELSE 0 END AS n FROM x),
+o AS (SELECT *, CASE WHEN NOT due THEN NULL WHEN waiting THEN 'redeliver' WHEN n > 3 THEN 'dead_letter' WHEN n % 2 = 0 THEN 'backoff' ELSE 'redeliver' END AS outcome FROM y)"""
+
+
+def waiting_state(spark, d) -> DataFrame:
+    """One group's state with deliveries that run out and some that wait after a failure."""
+    first = _read(spark, d, "events").agg(F.min("event_type").alias("_first"))  # one row
+    s = state(spark, d).join(F.broadcast(first), F.col("group") == F.col("_first")).drop("_first")
+    return s.withColumns({"next_ms": F.col("deliver_ms") + 2000, "waiting": F.col("seq") % 7 == 0})
+
+
+def _backoff():
+    return F.when(F.col("redelivery") % 2 == 0, F.col("redelivery") * 100).otherwise(0)
+
+
+@query("J21 K6", f"{_EXPIRED} SELECT seq, n AS redelivery, outcome, CASE WHEN outcome = 'backoff' THEN 50000 + n * 100 ELSE next_ms END AS next_ms, coalesce(outcome = 'backoff', false) OR (waiting AND NOT due) AS waiting FROM o")
+def queue_expire(spark, d):
+    return queue.expire_overdue(waiting_state(spark, d), 50_000, 3, _backoff()).select("seq", "redelivery", "outcome", "next_ms", "waiting")
+
+
+@query("J20 J21 G10", f"""{_EXPIRED}, k AS (SELECT seq FROM o WHERE outcome IS DISTINCT FROM 'redeliver'),
+f AS (SELECT q.seq, due_ts, CASE WHEN due_ts IS NULL THEN 0 WHEN due_ts <= 50000 THEN 1 END AS segment FROM q WHERE seq >= 15 AND seq NOT IN (SELECT seq FROM k))
+SELECT f.seq, segment, row_number() OVER (ORDER BY segment, coalesce(due_ts, f.seq), f.seq) AS place, coalesce(n, 0) AS redelivery FROM f LEFT JOIN (SELECT seq, n FROM o WHERE outcome = 'redeliver') r ON r.seq = f.seq
+WHERE segment IS NOT NULL ORDER BY place LIMIT 700""")
+def queue_dequeue(spark, d):
+    out, _ = queue.dequeue(messages(spark, d), waiting_state(spark, d), 50_000, 50_000, 700, "me", 4, 30_000, 3, _backoff(), floor=15)
+    return out.select("seq", "segment", "place", "redelivery")
+
+
+@query("B16 J18", """WITH n0 AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 4 != 0 THEN o_custkey END AS pid, CASE WHEN o_orderkey % 4 != 0 THEN o_orderkey % 60 END AS ps FROM orders),
+h0 AS (SELECT producer_id, producer_seq, min(seq) AS have FROM q GROUP BY ALL),
+f0 AS (SELECT n0.*, have, CASE WHEN pid IS NULL THEN pos ELSE min(pos) OVER (PARTITION BY pid, ps) END AS first FROM n0 LEFT JOIN h0 ON h0.producer_id = pid AND h0.producer_seq = ps),
+a0 AS (SELECT pos, (SELECT max(seq) FROM q) + row_number() OVER (ORDER BY pos) AS address FROM f0 WHERE have IS NULL AND first = pos)
+SELECT f0.pos, coalesce(have, address) AS seq, have IS NULL AND first = f0.pos AS "new" FROM f0 LEFT JOIN a0 ON a0.pos = f0.first""")
+def queue_enqueue(spark, d):
+    k = F.col("o_orderkey")
+    incoming = _read(spark, d, "orders").select(k.alias("pos"), F.col("o_orderpriority").alias("payload"), F.lit(None).cast("long").alias("due_ts"), F.when(k % 4 != 0, F.col("o_custkey")).alias("producer_id"), F.when(k % 4 != 0, k % 60).alias("producer_seq"))
+    return queue.enqueue(messages(spark, d), incoming, 0).select("pos", "seq", "new")
+
+
+@query("J23 J24", """SELECT "group", coalesce(min(seq) FILTER (NOT a), max(seq) + 1) AS cursor FROM (SELECT st.*, (acked OR seq % 4 = 0 OR seq % 9 = 0) AS a FROM st) GROUP BY 1""")
+def queue_ack_buffered(spark, d):
+    s = state(spark, d)
+    buffered = s.where("seq % 9 = 0").select("group", "seq", F.lit(0).cast("long").alias("epoch")).unionByName(s.where("seq % 4 = 0").select("group", "seq", F.lit(0).cast("long").alias("epoch")))
+    return queue.ack_cursors(queue.acknowledge(s, buffered, fenced=False, max_in_flight=1 << 40)).select("group", "cursor")
+
+
 @query("J41", "SELECT seq, CASE WHEN s2 IS NULL THEN 'stale' ELSE 'missing' END AS action FROM (SELECT seq AS s1 FROM q WHERE seq % 2 = 0) a0 FULL JOIN (SELECT seq AS s2 FROM q WHERE due_ts IS NOT NULL AND seq BETWEEN 100 AND 8999) b0 ON s1 = s2, LATERAL (SELECT coalesce(s1, s2) AS seq) WHERE s1 IS NULL OR s2 IS NULL")
 def queue_reconcile(spark, d):
     q = messages(spark, d)
@@ -751,9 +902,11 @@ def queue_by_priority(spark, d):
 # -- write-ahead log, blobs, files
 
 
-@query("B18 B19", "SELECT idx, entry FROM w")
+@query("B18 B19", "SELECT CASE WHEN entry % 2 = 0 THEN a ELSE (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) + b END AS idx, entry FROM (SELECT o_orderkey AS entry, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS b FROM orders)")
 def wal_append(spark, d):
-    return entries(spark, d).select("idx", "entry")
+    o = _read(spark, d, "orders").select(F.col("o_orderkey").alias("entry"))
+    first = wal.append(spark.createDataFrame([], "entry long, idx long"), o.where("entry % 2 = 0"), ["entry"])
+    return first.unionByName(wal.append(first, o.where("entry % 2 = 1"), ["entry"])).select("idx", "entry")
 
 
 @query("A10 A11", "SELECT idx, entry FROM w WHERE idx >= 100 AND NOT is_meta")
@@ -948,13 +1101,19 @@ _CLOCK = "SELECT user_id AS node, event_id AS seq, event_id * 7919 % 10007 AS no
 
 
 @query("F5", f"""WITH c AS ({_CLOCK}), p AS (SELECT *, max(now) OVER (PARTITION BY node ORDER BY seq ROWS UNBOUNDED PRECEDING) AS physical FROM c)
-SELECT node, seq, physical, CAST(row_number() OVER (PARTITION BY node, physical ORDER BY seq) - 1 AS INTEGER) AS logical FROM p""")
+SELECT node, seq, physical, row_number() OVER (PARTITION BY node, physical ORDER BY seq) - CASE WHEN physical = 0 THEN 0 ELSE 1 END AS logical FROM p""")
 def hlc_tick(spark, d):
     e = _read(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 10007).alias("now"))
     return replica.hybrid_clock(e).select("node", "seq", "physical", "logical")
 
 
-@query("F6")
+@query("F6", """WITH e0 AS (SELECT user_id AS node, event_id AS seq, event_id * 7919 % 10007 AS now, CASE WHEN event_id % 3 = 0 THEN event_id * 31 % 12007 END AS rp, CASE WHEN event_id % 3 = 0 THEN event_id % 5 END AS rl,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT node, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS physical, CAST(0 AS BIGINT) AS logical FROM (SELECT DISTINCT user_id AS node FROM events)
+UNION ALL SELECT e0.node, e0.n, e0.seq, greatest(r.physical, now, coalesce(rp, 0)),
+CASE WHEN greatest(r.physical, now, coalesce(rp, 0)) > r.physical THEN CASE WHEN rp = greatest(r.physical, now, rp) THEN rl + 1 ELSE 0 END
+WHEN rp IS NULL THEN r.logical + 1 ELSE greatest(r.logical, rl) + 1 END FROM r JOIN e0 ON e0.node = r.node AND e0.n = r.n + 1)
+SELECT node, seq, physical, logical FROM r WHERE n > 0 /* recursive */""")
 def hlc_receive(spark, d):
     e = _read(spark, d, "events").select(
         F.col("user_id").alias("node"), F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 10007).alias("now"),
@@ -1007,21 +1166,44 @@ def floor_division(spark, d):
     return _read(spark, d, "events").select("event_id", tb.floor_div(F.col("event_id") - 5000, 7).alias("q"))
 
 
-@query("I1 I2 I4 I5", "SELECT p_partkey, p_retailprice AS score, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part")
+@query("I1 I2", "SELECT p_partkey, p_retailprice AS score, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part")
 def score_codec(spark, d):
     p = _read(spark, d, "part").select("p_partkey", numeric.encode_score("p_retailprice").alias("code"))
     return log.dense_index(p, ["code", "p_partkey"], name="place").select("p_partkey", numeric.decode_score("code").alias("score"), "place")
 
 
+def _le(x: str, n: int) -> str:
+    """The n low bytes of a whole number as hex digits, least first, in DuckDB."""
+    return "concat(" + ", ".join(f"substr(printf('%016X', CAST({x} AS BIGINT)), {15 - 2 * i}, 2)" for i in range(n)) + ")"
+
+
+@query("I4 I5", "SELECT o_orderkey, o_totalprice AS price, o_custkey - 500 AS number FROM orders")
+def numbers_decoded(spark, d):
+    # the code of a positive score is its bits with the sign's turned, most significant first
+    h = F.hex(numeric.encode_score("o_totalprice"))
+    bits = F.unhex(F.concat(*(F.substring(h, i, 2) for i in range(15, 1, -2)), F.lpad(F.hex(F.conv(F.substring(h, 1, 2), 16, 10).cast("long") - 128), 2, "0")))
+    o = _read(spark, d, "orders").select("o_orderkey", F.concat(bits, F.lit(bytearray(b"rest"))).alias("p"), frames.little(F.col("o_custkey") - 500, 8).alias("n"))
+    return o.select("o_orderkey", numeric.decode_double("p").alias("price"), numeric.decode_long("n").alias("number"))
+
+
 @query("I22", "SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM part")
 def size_literal(spark, d):
     unit = F.element_at(F.array(*(F.lit(u) for u in ("", "k", "MB", "GiB"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return _read(spark, d, "part").select("p_partkey", numeric.parse_size(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
 
 
-@query("I23", "SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KB', n_chars / 1024.0) ELSE n_chars || ' B' END AS size FROM documents")
+def _pretty_sql(n: str) -> str:
+    unit, v = "''", f"CAST({n} AS DOUBLE)"
+    for u in "KMGT":
+        unit = f"CASE WHEN length(CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR)) > 3 THEN '{u}' ELSE {unit} END"
+        v = f"CASE WHEN length(CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR)) > 3 THEN round_even({v} / 1024, 12) ELSE {v} END"
+    return f"regexp_replace(CAST({v} AS VARCHAR), '\\.0$', '') || {unit} || 'B'"
+
+
+@query("I23", f"SELECT doc_id, {_pretty_sql('n_chars * CAST(pow(1000, doc_id % 4) AS BIGINT)')} AS size FROM documents")
 def size_text(spark, d):
-    return _read(spark, d, "documents").select("doc_id", numeric.pretty_size(F.col("n_chars")).alias("size"))
+    n = F.col("n_chars") * F.pow(F.lit(1000.0), F.col("doc_id") % 4).cast("long")
+    return _read(spark, d, "documents").select("doc_id", numeric.pretty_size(n).alias("size"))
 
 
 @query("I24", "SELECT o_orderkey, CAST(floor(log2(o_orderkey)) AS INTEGER) AS log2, bit_count(o_orderkey) = 1 AS power FROM orders WHERE o_orderkey > 0")
@@ -1035,10 +1217,37 @@ def rotate_right(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", numeric.rotate_right(F.col("o_orderkey"), 3).alias("r"))
 
 
-@query("I6 I7 I8 I9 I10 I11")
+def _crc_sql(data: str, poly: str, mask: str, top: int, ones: bool, reflected: bool, kind: str) -> str:
+    """A checksum byte by byte over a list of bytes, from the definition: no table."""
+    one = f"CAST(1 AS {kind})"
+    if reflected:
+        bit = f"CASE WHEN c & {one} = {one} THEN xor(c >> 1, CAST({poly} AS {kind})) ELSE c >> 1 END"
+        step = f"list_reduce([xor(s, b)] || [CAST(0 AS {kind}) FOR i IN range(8)], lambda c, k: {bit})"
+    else:
+        half = f"CAST({1 << (top - 1)} AS {kind})"
+        bit = f"CASE WHEN c >= {half} THEN xor((c - {half}) * 2, CAST({poly} AS {kind})) ELSE c * 2 END"
+        step = f"list_reduce([xor(s, b * CAST({1 << (top - 8)} AS {kind}))] || [CAST(0 AS {kind}) FOR i IN range(8)], lambda c, k: {bit})"
+    start = f"CAST({mask if ones else 0} AS {kind})"
+    out = f"list_reduce([{start}] || list_transform({data}, lambda x: CAST(x AS {kind})), lambda s, b: {step})"
+    return f"xor({out}, CAST({mask} AS {kind}))" if ones else out
+
+
+_BYTES = "list_transform(range(0, length(url)), lambda i: ascii(substr(url, i + 1, 1)))"
+
+
+@query("I6 I7 I8", f"""SELECT page_id, CAST({_crc_sql('x', '3988292384', '4294967295', 32, True, True, 'UBIGINT')} AS BIGINT) AS crc32, CAST({_crc_sql('x', '2197175160', '4294967295', 32, True, True, 'UBIGINT')} AS BIGINT) AS crc32c,
+printf('%016X', {_crc_sql('x', str(0x42F0E1EBA9EA3693), '0', 64, False, False, 'UBIGINT')}) AS crc64 FROM (SELECT page_id, {_BYTES} AS x FROM pages)""")
 def checksums(spark, d):
+    t = F.encode("url", "UTF-8")
+    back = F.hex(hashes.crc64(t))
+    swapped = F.lpad(back, 16, "0")
+    return _read(spark, d, "pages").select("page_id", F.crc32(t).alias("crc32"), hashes.crc32c(t).alias("crc32c"), F.concat(*(F.substring(swapped, i, 2) for i in range(15, 0, -2))).alias("crc64"))
+
+
+@query("I9 I10 I11")
+def hashes_of_texts(spark, d):
     t = F.encode("text", "UTF-8")
-    return _read(spark, d, "documents").select("doc_id", F.crc32(t).alias("crc32"), hashes.crc32c(t).alias("crc32c"), hashes.crc64(t).alias("crc64"), hashes.xxh64(t).alias("xxh64"), F.hex(hashes.xxh128(t)).alias("xxh128"), F.xxhash64("text").alias("key_hash"))
+    return _read(spark, d, "documents").select("doc_id", hashes.xxh64(t).alias("xxh64"), F.hex(hashes.xxh128(t)).alias("xxh128"), F.xxhash64("text").alias("key_hash"), F.crc32(t).alias("crc32"), hashes.crc32c(t).alias("crc32c"), hashes.crc64(t).alias("crc64"))
 
 
 @query("I18", "SELECT doc_id, doc_id * 3 AS expiry, md5(text) AS digest FROM documents")
@@ -1051,24 +1260,65 @@ def numeric_frame():
     return frames.unwrap_value(frames.wrap_value((F.col("doc_id") * 3), F.encode("text", "UTF-8")))
 
 
-@query("I19 I20", "SELECT event_id, 'TTS2' AS magic, user_id AS series_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 1 END AS flags FROM events")
-def envelopes(spark, d):
-    e = _read(spark, d, "events")
-    a = frames.sample_envelope(F.col("user_id"), tb.ticks_of("ts"), F.col("event_id"), F.col("props"))
-    b = frames.message_envelope(F.col("user_id"), F.col("event_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.col("props"))
-    return e.select("event_id", a.alias("a"), b.alias("b")).select("event_id", "a.magic", "a.series_id", "a.seq", "b.flags")
+_HEX = "hex(encode(props))"
+
+
+@query("I19", f"""SELECT event_id, '54545332' || CASE WHEN event_id % 4 = 0 THEN '00' ELSE '01' END || {_le("user_id", 4)} || {_le(f"epoch_us(ts) * 10 + {tb.UNIX_EPOCH}", 8)} || {_le("CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id END", 8)} || {_HEX} AS bytes FROM events""")
+def envelope_sample(spark, d):
+    seq = F.when(F.col("event_id") % 4 != 0, F.col("event_id"))
+    return _read(spark, d, "events").select("event_id", F.hex(frames.sample_envelope(F.col("user_id"), tb.ticks_of("ts"), seq, F.encode("props", "UTF-8"))).alias("bytes"))
+
+
+@query("I19", f"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS flags, epoch_us(ts) * 10 + {tb.UNIX_EPOCH} AS ts, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id END AS seq, props FROM events""")
+def envelope_sample_read(spark, d):
+    seq = F.when(F.col("event_id") % 4 != 0, F.col("event_id"))
+    wrapped = frames.sample_envelope(None, tb.ticks_of("ts"), seq, F.encode("props", "UTF-8"))
+    return _read(spark, d, "events").select("event_id", frames.unwrap_sample(wrapped, dense=False).alias("u")).select("event_id", "u.flags", "u.ts", "u.seq", F.decode("u.payload", "UTF-8").alias("props"))
+
+
+@query("I20", f"""SELECT event_id, '54514531' || CASE WHEN event_id % 3 = 0 THEN '03' ELSE '02' END || {_le("user_id", 8)} || {_le("event_id", 8)} || {_le("CASE WHEN event_id % 3 = 0 THEN event_id * 7 ELSE 0 END", 8)} || {_HEX} AS bytes FROM events""")
+def envelope_message(spark, d):
+    due = F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 7)
+    return _read(spark, d, "events").select("event_id", F.hex(frames.message_envelope(F.col("user_id"), F.col("event_id"), due, F.encode("props", "UTF-8"))).alias("bytes"))
 
 
-@query("I12 I14 I15 I16", "SELECT o_orderkey, (o_orderkey // 1000) * 1000 + o_orderkey % 1000 + 17 AS position FROM orders")
+@query("I20", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 2 END AS flags, user_id AS producer_id, event_id AS producer_seq, CASE WHEN event_id % 3 = 0 THEN event_id * 7 ELSE 0 END AS due_ts, props FROM events""")
+def envelope_message_read(spark, d):
+    due = F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 7)
+    wrapped = frames.message_envelope(F.col("user_id"), F.col("event_id"), due, F.encode("props", "UTF-8"))
+    return _read(spark, d, "events").select("event_id", frames.unwrap_message(wrapped).alias("u")).select("event_id", "u.flags", "u.producer_id", "u.producer_seq", "u.due_ts", F.decode("u.payload", "UTF-8").alias("props"))
+
+
+@query("I21 J29", f"""SELECT event_id, '5143444C51303100' || {_le("event_id % 5", 4)} || {_le("1", 4)} || {_le("event_id * 64", 8)} || {_le("event_id % 7", 4)} || {_le("length(event_type)", 4)} || hex(encode(event_type)) || {_HEX} AS bytes FROM events""")
+def envelope_dead_letter(spark, d):
+    e = F.col("event_id")
+    return _read(spark, d, "events").select("event_id", F.hex(frames.dead_letter_envelope(e % 5, F.lit(1), e * 64, F.col("event_type"), e % 7, F.encode("props", "UTF-8"))).alias("bytes"))
+
+
+@query("I21 J30", "SELECT event_id, event_id % 5 AS segment, event_id * 64 AS \"offset\", event_id % 7 AS final_count, event_type AS \"group\", props FROM events")
+def envelope_dead_letter_read(spark, d):
+    e = F.col("event_id")
+    wrapped = frames.dead_letter_envelope(e % 5, F.lit(1), e * 64, F.col("event_type"), e % 7, F.encode("props", "UTF-8"))
+    return _read(spark, d, "events").select("event_id", frames.unwrap_dead_letter(wrapped).alias("u")).select("event_id", F.col("u.segment").cast("long").alias("segment"), "u.offset", F.col("u.final_count").cast("long").alias("final_count"), "u.group", F.decode("u.payload", "UTF-8").alias("props"))
+
+
+@query("I12 I14 I15 I16", "SELECT o_orderkey, (o_orderkey // 1000) * 1000 + o_orderkey % 1000 + 17 AS position, o_orderkey + 17 - (SELECT min(o_orderkey) FROM orders) AS distance FROM orders")
 def address_arithmetic(spark, d):
     o = _read(spark, d, "orders").select("o_orderkey", frames.address(tb.floor_div(F.col("o_orderkey"), 1000), F.col("o_orderkey") % 1000).alias("a"))
-    segments = o.groupBy("a.segment").agg(F.lit(1000).cast("long").alias("size"))
-    dense = spark.range(0, (segments.agg(F.max("segment")).first()[0] or 0) + 1).select(F.col("id").alias("segment"), F.lit(1000).alias("size"))
-    base = frames.flat_addresses(dense)
-    at = o.join(F.broadcast(base), F.col("a.segment") == F.col("segment"))  # one row a segment
-    return at.select("o_orderkey", frames.advance(F.col("base") + F.col("a.offset"), 17).alias("position"))
+    # a size for each segment up to the last one that holds a record
+    last = o.agg(F.max("a.segment").alias("m"))
+    segments = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)))).alias("segment"), F.lit(1000).cast("long").alias("size"))
+    at = o.join(frames.flat_addresses(segments), F.col("a.segment") == F.col("segment"))
+    least = o.agg(F.min("a").alias("first")).select((F.col("first.segment") * 1000 + F.col("first.offset")).alias("first"))  # one row
+    position = frames.advance(F.col("base") + F.col("a.offset"), 17)
+    return at.crossJoin(F.broadcast(least)).select("o_orderkey", position.alias("position"), frames.distance(F.col("first"), position).alias("distance"))
 
 
-@query("A16", "SELECT doc_id, CAST(strpos(text, 'the') AS INTEGER) > 0 AS found FROM documents")
+@query("A16", "SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN octet_length(encode(left(text, strpos(text, 'the') - 1))) END AS first, CASE WHEN strpos(text, 'the') > 0 THEN octet_length(encode(text)) - octet_length(encode(right(text, strpos(reverse(text), 'eht') + 2))) END AS last FROM documents")
 def magic_locate(spark, d):
-    return _read(spark, d, "documents").select("doc_id", (frames.locate_magic(F.encode("text", "UTF-8"), b"the").isNotNull()).alias("found"))
+    data = F.encode("text", "UTF-8")
+    a, b = (frames.locate_magic(data, b"the", last=x, page=1 << 30) for x in (False, True))
+    return _read(spark, d, "documents").select("doc_id", a["offset"].alias("first"), b["offset"].alias("last"))
+
+
+from tidelog.plans import actions  # noqa: E402, F401  (registers its queries)

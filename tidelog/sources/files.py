@@ -49,8 +49,57 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.select("path", "length", F.col("modificationTime").alias("modified")).where(glob(last_component(F.col("path")), pattern))
 
 
+def list_entries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(name, is_folder, length) of what lies right below a path and fits the glob; one listing by
+    the store's own client, a row each."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    rows = [(s.getPath().getName(), s.isDirectory(), s.getLen()) for s in found]
+    return spark.createDataFrame(rows, "name string, is_folder boolean, length long").where(glob(F.col("name"), pattern))
+
+
+#: Schemes whose files a Python worker can open and seek in.
+_SEEKABLE = ("file", "s3", "s3a", "gs", "hdfs", "")
+
+
 def read_bytes(spark: SparkSession, path: str, offset: int, n: int) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.substring("content", offset + 1, n).alias("content"))
+    """(path, content): n bytes from an offset of every file at a path.  Files are listed without
+    their contents, and each is opened and sought in its own task; stores that Python cannot
+    open are read whole by Spark."""
+    listed = spark.read.format("binaryFile").load(path)
+    if urlsplit(path).scheme not in _SEEKABLE:
+        return listed.select("path", F.substring("content", offset + 1, n).alias("content"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                store, at = fs.FileSystem.from_uri(p.replace("s3a://", "s3://", 1).replace("file:/", "file:///", 1) if not p.startswith("file://") else p)
+                with store.open_input_file(at) as f:
+                    size = f.size()
+                    f.seek(min(offset, size))
+                    out.append(f.read(min(n, max(0, size - offset))))
+            yield pd.DataFrame({"path": pdf["path"], "content": out})
+
+    return listed.select("path").mapInPandas(run, "path string, content binary")
+
+
+def copy_tables(spark: SparkSession, source: str, target: str, names: list[str]) -> DataFrame:
+    """An image of tables in another root: (name, rows, same), a receipt for each with whether what
+    is read there has the rows and checksum of what was sent."""
+    from tidelog.operators.series import fingerprint
+
+    out = None
+    for name in names:
+        sent = spark.read.parquet(f"{source}/{name}.parquet")
+        sent.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+        got = fingerprint(spark.read.schema(sent.schema).parquet(f"{target}/{name}.parquet"))
+        one = fingerprint(sent).select("rows", F.col("checksum").alias("_sent")).crossJoin(got.select(F.col("rows").alias("_rows"), "checksum"))  # one row each
+        one = one.select(F.lit(name).alias("name"), "rows", ((F.col("rows") == F.col("_rows")) & (F.col("_sent") == F.col("checksum"))).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 MAGIC = b"TLR1"
@@ -77,15 +126,36 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, int, bool, bytes]]:
             at += 1
 
 
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for p, content in zip(pdf["path"], pdf["content"], strict=True):
+            rows = [(p, *r) for r in parse_records(bytes(content))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "offset", "key", "seq", "is_tombstone", "payload"])
+
+
 def read_records(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Records of binary files, read by Spark from any file system it knows."""
+    """Records of binary files, read by Spark from any file system it knows.  A file is parsed from
+    its begin, as a record's payload may hold what looks like one, so a file is one task's."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return listed.select("path", "content").mapInPandas(_parsed, _SCHEMA)
+
+
+def write_records(rows: DataFrame, path: str) -> str:
+    """Records (key, seq, is_tombstone, payload) as binary record files, one a partition, by the
+    store's own client; returns the path."""
+    lines = rows.select("key", "seq", "is_tombstone", "payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(p, *r) for r in parse_records(bytes(content))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "offset", "key", "seq", "is_tombstone", "payload"])
+            yield pd.DataFrame({"value": [b"".join(record_bytes(k, s, bool(t), bytes(p)) for k, s, t, p in zip(*(pdf[c] for c in pdf.columns), strict=True))]})
+
+    # a sequence file would frame them again; Parquet holds the blocks, one binary value a batch
+    lines.mapInPandas(run, "value binary").write.mode("append").parquet(path)
+    return path
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, _SCHEMA)
+def read_record_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Records of blocks that ``write_records`` wrote."""
+    blocks = spark.read.schema("value binary").parquet(path).select(F.lit(path).alias("path"), F.col("value").alias("content"))
+    return blocks.mapInPandas(_parsed, _SCHEMA)

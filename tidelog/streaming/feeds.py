@@ -27,12 +27,18 @@ def window_offset(days: int) -> str:
 
 
 def rollup(samples: DataFrame, width: str, delay: str, offset: str = "0 seconds") -> DataFrame:
-    """(series_id, window, sum, count, min, max) of every tumbling window of a stream
-    (series_id, ts timestamp, value); rows later than ``delay`` are dropped by Spark, so
-    split them off first (``split_late``) where they must not be."""
+    """(series_id, window and the seven aggregates) of every tumbling window of a stream
+    (series_id, ts timestamp, seq, value); first and last go by time, then address, if there is
+    one.  Rows later than ``delay`` are dropped by Spark, so split them off first
+    (``split_late``) where they must not be."""
     w = F.window("ts", width, width, offset)
-    some = samples.withWatermark("ts", delay)
-    return some.groupBy("series_id", w.alias("w")).agg(F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max")).select("series_id", F.col("w.start").alias("window"), "sum", "count", "min", "max")
+    v = F.col("value")
+    order = F.struct("ts", "seq") if "seq" in samples.columns else F.col("ts")
+    out = samples.withWatermark("ts", delay).groupBy("series_id", w.alias("w")).agg(
+        F.when(F.max(F.isnan(v)), F.lit(float("nan"))).otherwise(F.min(v)).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.count(F.lit(1)).alias("count"),
+        F.avg(v).alias("avg"), F.min_by(v, order).alias("first"), F.max_by(v, order).alias("last"),
+    )
+    return out.select("series_id", F.col("w.start").alias("window"), "min", "max", "sum", "count", "avg", "first", "last")
 
 
 def deduplicated(messages: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
