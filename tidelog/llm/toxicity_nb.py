@@ -3,12 +3,21 @@
 The log ratio of an n-gram's smoothed frequencies in toxic and other texts scales the
 n-gram's feature, and a regularised logistic model is fitted on the scaled features.  A
 text is read in windows of ``WINDOW`` characters (each begins half a window after the
-last): its score is that of its most toxic window, so that length doesn't dilute abuse.
+last), so that length doesn't dilute abuse.  Its score is logistic in three sums of the
+n-grams' weights, the most toxic window's, the second most toxic one's, and the mean over
+the text; how they count is fitted on documents that the weights have not seen, fold by
+fold.  The sample holds both labels alike, so the log odds of the labels' true share are
+added with a weight of ``PRIOR_WEIGHT``.  By cross-validation over the rows that may teach
+(sf0.1), weights of 0, 0.25, 0.5 and 1 find 0.946, 0.934, 0.919 and 0.855 of toxic documents
+and flag 0.048, 0.025, 0.012 and 0.007 of others; 0.25 gives up little of the first.
+A word right after itself counts once, as repeated lines and words are no evidence each.
 
 Fitting uses at most ``TRAIN_PER_CLASS`` documents of each label, each of at most
 ``TRAIN_CHARS`` characters.  Defined results: null text counts as empty and scores as a
 text without n-grams; without usable labels all score 0.5; repeated rows get one result
-each.
+each; of windows with equal weights one is the first and one the second; a text of any
+length is read whole, in pieces whose windows join exactly; only doc_id and text are read, so
+other columns, whatever their names, change nothing; no rows give no rows.
 """
 
 from __future__ import annotations
