@@ -3,7 +3,8 @@
 Candidates are found by patterns in whole texts.  Their values' hashes are counted over
 the corpus by distinct owners (``source``) and repositories (here: documents of an
 owner).  A value that ``EXAMPLE_OWNERS`` owners or more share is a copied example; one
-that fewer own and that looks random is live.  Live free-standing tokens that no base
+that a single owner holds and that looks random is live.  Of those between, which owners'
+numbers leave open, values with a placeholder's word are taken for examples (``PLACEHOLDER``).  Live free-standing tokens that no base
 pattern covers are added to the spans.
 
 Positions come from ``split`` and ``regexp_extract_all`` of the same pattern: gaps and
@@ -12,7 +13,9 @@ offsets.  Counting is by (value, owner, document), then (value, owner), then val
 with partial sums, so a value that a third of all rows hold is never gathered.
 
 Defined results: null text counts as empty; a null source is an owner of its own; rows
-that repeat id and text give equal rows; extra columns are ignored.
+that repeat id and text give equal rows; spans that begin alike go by kind as listed; texts of
+any length are matched whole; extra columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, read_table, written
+from .components import hot_above, join_by_key
 
 EXAMPLE_OWNERS = 3
 MASK = "[secret]"
@@ -58,7 +62,7 @@ def _mixed(v: Column) -> Column:
 
 
 def _random_looking(v: Column) -> Column:
-    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(v, ""))) >= 8)
+    return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 8)
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,14 +94,16 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = F.col("kind") != "token"
     free = (F.coalesce(F.max(F.when(base, F.col("end"))).over(before), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(base, F.col("start"))).over(after), F.col("end")) >= F.col("end"))
     at = at.select("*", base.alias("base"), (base | free).alias("keep")).where("keep")
-    at = written(at.select("k", "doc_id", "owner", "rank", "kind", "start", "end", "base", F.sha2("value", 256).alias("hash"), _random_looking(F.col("value")).alias("random")), "secret-spans")
+    at = written(at.select("k", "doc_id", "owner", "rank", "kind", "start", "end", "base", F.sha2("value", 256).alias("hash"), _random_looking(F.col("value")).alias("random"), F.col("value").rlike(PLACEHOLDER).alias("placeholder")), "secret-spans")
     spread = (
         at.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
     once = at.drop("owner", "doc_id").dropDuplicates(["k", "rank", "start"])
-    judged = once.join(spread, "hash").withColumn("live", F.col("random") & (F.col("owners") < EXAMPLE_OWNERS))
+    # a value that very many rows hold stays where it is read
+    spread = spread.withColumn("_rows", F.col("repositories"))
+    judged = join_by_key(once, spread, "hash", "_rows", hot_above(at.count())).withColumn("live", F.col("random") & ((F.col("owners") == 1) | ((F.col("owners") < EXAMPLE_OWNERS) & ~F.col("placeholder"))))
     return docs.select(_row_key(docs).alias("k"), F.col("doc_id").cast("long").alias("doc_id")), judged.where("base or live").select("k", "rank", "kind", "start", "end", "base", "live", "owners", "repositories")
 
 
@@ -169,8 +175,8 @@ c AS (SELECT rid, doc_id, owner, rank, kind, CAST(fin - length(w) AS BIGINT) AS
         AND (kind != 'token' OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
 k AS (SELECT * FROM c WHERE kind != 'token' OR NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.kind != 'token' AND b.s < c.f AND b.f > c.s)),
 o AS (SELECT v, count(DISTINCT owner) AS owners FROM k GROUP BY v),
-j AS (SELECT k.*, o.owners, o.owners < {EXAMPLE_OWNERS} AND regexp_matches(k.v, '[0-9]') AND regexp_matches(k.v, '[A-Za-z]')
-             AND NOT regexp_matches(k.v, {quote(PLACEHOLDER)}) AND len(list_distinct(string_split(k.v, ''))) >= 8 AS live FROM k JOIN o USING (v)),
+j AS (SELECT k.*, o.owners, (o.owners = 1 OR o.owners < {EXAMPLE_OWNERS} AND NOT regexp_matches(k.v, {quote(PLACEHOLDER)})) AND regexp_matches(k.v, '[0-9]') AND regexp_matches(k.v, '[A-Za-z]')
+             AND len(list_distinct(string_split(k.v, ''))) >= 8 AS live FROM k JOIN o USING (v)),
 z AS (SELECT * FROM j WHERE kind != 'token' OR live),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              count(*) FILTER (kind = 'token') AS n_token, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example,
