@@ -1,4 +1,10 @@
-"""The training-data pipeline: stages applied in order, each written and read again."""
+"""The training-data pipeline: stages applied in order, each written and read again.
+
+Defined results of every stage: null ids and texts are rows as any other (a null text counts
+as empty); repeated rows are judged alike, and only near_duplicates drops any of them; ties
+go as the stage's operator says; texts of any length are read whole; extra columns, whatever
+their names, stay, but for packing, which returns pieces; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +15,17 @@ from tidelog.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the line classifier rejects."""
+    """Drops documents that the line classifier rejects; without usable labels all stay."""
     return quality_crf.keep_good(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the least id, null ids last."""
     return jaccard_join.keep_one(spark, docs, sf_dir)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that repeat a benchmark item."""
+    """Drops rows that repeat a benchmark item, by their own text, whatever ids they share."""
     return decontaminate.keep_clean(spark, docs, sf_dir)
 
 
@@ -29,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into training sequences."""
+    """Packs the documents' tokens into training sequences; a null text is its closing id alone."""
     return packing.pack_stage(spark, docs, sf_dir)
 
 
