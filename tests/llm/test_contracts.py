@@ -47,31 +47,107 @@ def test_oracle(spark):
         assert a.astype(str).equals(b.astype(str))
 
 
-def test_op1_finds_planted_items(spark, docs):
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rng = np.random.default_rng(1)
-    vocabulary = re.findall(r"\w+", docs[1][1])
-    changed = []
-    for i, t in bench:
-        words = [w if rng.random() > 0.12 else vocabulary[rng.integers(len(vocabulary))] for w in t.split()]
-        changed.append((10_000 + i, f"{docs[3][1][:300]} {' '.join(words)} {docs[5][1][:300]}"))
-    frame = spark.createDataFrame([*docs, *changed], "doc_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
-    exact = {(d, i) for d, t in docs for i, b in bench if plain(b) in plain(t)}
-    assert exact and exact <= found
-    assert sum((10_000 + i, i) in found for i, _ in bench) >= 0.9 * len(bench)
-    false = {x for x in found if x[0] < 10_000} - exact
-    assert len(false) <= 1
+def plain_words(t):
+    return " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
 
 
-def test_op1_latent_recall_against_brute_force(spark, docs):
-    """Candidates by cosine in the latent space hold the nearest item of every passage that
-    holds an item's words."""
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark.createDataFrame([(i, t) for i, t in bench], "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert sum((i, i) in found for i, _ in bench) >= 0.9 * len(bench)
-    assert all(r.cosine > 0.8 and r.lcs > 0.99 for (d, i), r in found.items() if d == i)
+def altered(text, how, rng, vocabulary, synonyms):
+    words = text.split()
+    if how == "reordered":
+        parts = re.split(r"(?<=[.!?])\s+|\n+", text)
+        return " ".join(parts[i] for i in rng.permutation(len(parts)))
+    if how == "synonyms":  # every item's word that has one, in a third of its places
+        return " ".join(synonyms.get(w.lower().strip(".,"), w) if rng.random() < 0.33 else w for w in words)
+    return " ".join(w if rng.random() >= how else vocabulary[rng.integers(len(vocabulary))] for w in words)
+
+
+def test_op1_recall_of_paraphrases(spark):
+    """Items set into real documents with words replaced, sentences reordered, and words swapped
+    for others of the corpus: at least 0.9 are found, and at most 1 in 500 clean documents is."""
+    sf = "/root/testdata/sf0.01"
+    real = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    rng = np.random.default_rng(1)
+    vocabulary = [w for _, t in real[:40] for w in t.split()]
+    words = sorted({w.lower().strip(".,") for _, t in bench for w in t.split()})
+    synonyms = dict(zip(words, rng.permutation([w for w in dict.fromkeys(vocabulary)])[: len(words)], strict=False))
+    made, n = [], 10_000
+    for how in (0.15, 0.3, "reordered", "synonyms"):
+        for i, t in bench:
+            a, b = real[rng.integers(len(real))][1], real[rng.integers(len(real))][1]
+            made.append((n, i, how, f"{a[: rng.integers(0, 500)]} {altered(t, how, rng, vocabulary, synonyms)} {b[: rng.integers(0, 500)]}"))
+            n += 1
+    frame = spark.createDataFrame([*real, *((m, t) for m, _, _, t in made)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    plain = [(d, plain_words(t)) for d, t in real]
+    exact = {(d, i) for i, b in bench for p in [plain_words(b)] for d, t in plain if p in t}
+    assert exact and exact <= found
+    assert len({x for x in found if x[0] < 10_000} - exact) <= len(real) / 500
+    for how in (0.15, 0.3, "reordered", "synonyms"):
+        of = [(m, i) for m, i, h, _ in made if h == how]
+        assert sum(x in found for x in of) >= 0.9 * len(of), how
+
+
+def local_index(docs, bench, passages=4000):
+    """An index fitted in memory, as the query fits it on the cluster."""
+    from tidelog.llm.textvec import word_hashes
+
+    words, at = word_hashes([t for _, t in bench])
+    x = decontaminate.Index(bench, decontaminate.Terms(words), words, at)
+    w, to = word_hashes(docs)
+    t = x.numbers_of(w)
+    owner = np.repeat(np.arange(len(docs)), np.diff(to))
+    df = np.bincount(np.unique(owner * x.width + t) % x.width, minlength=x.width)
+    rows = x.weigh(np.log((len(docs) + 1) / (df + 1)))
+    some = [t[a + k : min(b, a + k + 64)] for a, b in zip(to, to[1:], strict=False) for k in range(0, b - a, 32)][:passages]
+    sample = decontaminate._unit_rows(some, x.idf)
+    rank, n = min(decontaminate.RANK, max(8, len(x.windows) // 2)), len(x.windows)
+    right = np.random.default_rng(5).normal(size=(x.width, rank)).astype(np.float32)
+    for _ in range(2):
+        right = decontaminate._normal(sample, right, len(some)) * (decontaminate.SAMPLE_SHARE * n / len(some)) + decontaminate._normal(rows, right, n)
+        right = np.linalg.qr(right)[0].astype(np.float32)
+    x.project(rows, right)
+    return x
+
+
+def test_op1_candidates_against_brute_force(docs, spark):
+    """The rank is well below the number of items; the search finds what testing every item on
+    every document word by word finds, at any place in a passage."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    rng = np.random.default_rng(2)
+    texts = [t for _, t in docs]
+    vocabulary = [w for t in texts for w in t.split()]
+    planted = [" ".join(vocabulary[: int(rng.integers(0, 64))]) + " " + altered(t, 0.3, rng, vocabulary, {}) + " " + texts[k] for k, (_, t) in enumerate(bench)]
+    every = [*texts, *planted]
+    x = local_index(every, bench)
+    assert x.q.shape[1] <= len(bench) // 2
+    found = {(d, i) for d, i, *_ in decontaminate.search(every, x)}
+    from tidelog.llm.textvec import word_hashes
+
+    want = set()
+    for d, t in enumerate(every):
+        words, _ = word_hashes([t])
+        if len(words) < 4000:
+            for i in range(len(bench)):
+                step = max(1, int(x.at[i + 1] - x.at[i]))
+                if any(decontaminate._held(i, words[a : a + 3 * step + 64], x) >= 0.6 for a in range(0, max(1, len(words)), step)):
+                    want.add((d, i))
+    assert len(want) > 30 and len(want & found) >= 0.9 * len(want)
+
+
+def test_op1_normal_products_and_terms():
+    rng = np.random.default_rng(0)
+    rows = [rng.integers(0, 50, rng.integers(0, 30)) for _ in range(20)]
+    weight = rng.random(50) + 0.1
+    sparse = decontaminate._unit_rows(rows, weight)
+    dense = np.zeros((20, 50))
+    for i, r in enumerate(rows):
+        np.add.at(dense[i], r, 1)
+    dense *= weight
+    dense /= np.maximum(np.sqrt((dense**2).sum(1)), 1e-12)[:, None]
+    m = rng.normal(size=(50, 7)).astype(np.float32)
+    assert np.allclose(decontaminate._times(*sparse[:3], m, 20), dense @ m, atol=1e-5)
+    assert np.allclose(decontaminate._normal(sparse, m, 20), dense.T @ (dense @ m), atol=1e-5)
 
 
 def held_out_accuracy(spark, name, column):
@@ -82,9 +158,60 @@ def held_out_accuracy(spark, name, column):
     return x.a
 
 
-def test_op2_op9_held_out(spark):
+def test_op2_held_out(spark):
     assert held_out_accuracy(spark, "op2_quality_crf", "quality") > 0.95
-    assert held_out_accuracy(spark, "op9_toxicity_nb", "toxic") > 0.92  # 70 held-out rows, about 50 toxic ones to learn from
+
+
+def test_op9_recall_and_false_positives(spark):
+    sf = "/root/testdata/sf0.1"
+    r = registry.QUERIES["op9_toxicity_nb"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").select("predicted", "toxic").collect()
+    toxic, other = [x.predicted for x in r if x.toxic == 1], [x.predicted for x in r if x.toxic == 0]
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic) and sum(other) <= 0.05 * len(other)
+
+
+def test_op9_windows_against_brute_force():
+    from tidelog.llm import toxicity_nb
+    from tidelog.llm.textvec import folded, gram_index
+
+    rng = np.random.default_rng(0)
+    table = rng.normal(size=1 << toxicity_nb.BITS).astype(np.float32)
+    texts = ["", "short one", " ".join(f"w{k * 7 % 99}" for k in range(700)), None, "x yz " * 300]  # no word right after itself
+    got = toxicity_nb.window_statistics(texts, table)
+    for t, row in zip(texts, got, strict=True):
+        cp, _ = folded([t])
+        value = np.zeros(len(cp))
+        for k in toxicity_nb.ORDERS:
+            index = gram_index(cp, k, toxicity_nb.BITS)
+            value[: len(index)] += table[index]
+        value[max(0, len(cp) - max(toxicity_nb.ORDERS) + 1) :] = 0  # no n-gram runs over the end
+        half = toxicity_nb.WINDOW // 2
+        n = len(t or "") + 1
+        sums = [value[a : min(a + 2 * half, n)].sum() for a in range(0, n, half)]
+        sums.sort(reverse=True)
+        want = (sums[0] / toxicity_nb.WINDOW, sums[min(1, len(sums) - 1)] / toxicity_nb.WINDOW, value[:n].sum() / n)
+        assert np.allclose(row, want, atol=1e-6)
+
+
+def test_op3_votes_against_enumeration():
+    """Scores of whole texts by n-gram sums equal those of counted n-grams, one by one."""
+    from tidelog.llm import linear_chars
+
+    rng = np.random.default_rng(1)
+    tables = [rng.normal(size=1 << 12) for _ in range(3)]
+    texts = ["", "a", "ab", "Das ist ein Satz über Straßen.", "x" * 5000, None, "été 123\n\tfin"]
+    got = linear_chars.gram_sums(texts, tables, (1, 2, 3), 12)
+    columns, means, at = linear_chars.gram_rows([t or "" for t in texts], (1, 2, 3), 12)
+    for i in range(len(texts)):
+        for c, w in enumerate(tables):
+            assert got[i, c] == pytest.approx(float((w[columns[at[i] : at[i + 1]]] * means[at[i] : at[i + 1]]).sum()), abs=1e-5)
+
+
+def test_op2_lines_change_labels_in_mixed_documents():
+    sample = [("fine words here.\nand more of them.", "1"), ("###\n!!! 0 0 0\n", "0")]
+    some = quality_crf.mixed_documents(sample, 30)
+    assert len(some) == 30 and all(len(t.split("\n")) == len(v) for t, v in some)
+    assert sum(len(set(v)) == 2 for _, v in some) == 30
+    assert quality_crf.mixed_documents([("", "1"), ("x", "0")], 5) == []
 
 
 def test_op3_held_out(spark):
@@ -473,3 +600,132 @@ def test_written_tables_are_verified_and_bounded_to_shared_folders(spark, monkey
         df.agg(F.max("t")).collect()
     session.discard(spark, path)
     assert not glob.glob(f"{path}/*")
+
+
+# -- op5: streams that others would write
+
+
+def frame_of(version, layer, kbps_index, rate_index, mono=True, crc=False, body=b"", side=None, mode=None, ext=0):
+    """A frame of any kind; its checksum is computed bit by bit from the format's rules."""
+    from tidelog.llm import media_mpeg
+
+    mode = (3 if mono else 0) if mode is None else mode
+    word = bytes([0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (0 if crc else 1), kbps_index << 4 | rate_index << 2, mode << 6 | ext << 4])
+    h = media_mpeg.header(word)
+    data = word + (b"\x00\x00" if crc else b"") + body
+    data = data.ljust(h[0], b"\x55" if body else b"\x00")[: h[0]]
+    return data, h
+
+
+def crc_of(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15
+        c = c << 1 & 0xFFFF
+        if top ^ b:
+            c ^= 0x8005
+    return c
+
+
+def test_op5_versions_layers_and_resynchronisation():
+    from tidelog.llm import media_mpeg
+
+    for version, layer, samples, rate in ((3, 3, 1152, 44100), (3, 2, 1152, 44100), (3, 1, 384, 44100), (2, 3, 576, 22050), (2, 2, 1152, 22050), (0, 3, 576, 11025)):
+        one, h = frame_of(version, layer, 5, 0)
+        assert h[1:3] == (samples, rate)
+        stream = b"junk" * 5 + one * 4 + b"\xff\xf0 noise" + one * 3
+        p = media_mpeg.parse(stream)
+        assert len(p["kinds"]) == 7 and p["samples"] == 7 * samples and p["skipped"] == 20 + 8
+        assert p["offsets"].tolist() == [20 + k * h[0] for k in range(4)] + [20 + 4 * h[0] + 8 + k * h[0] for k in range(3)]
+    assert media_mpeg.parse(b"")["samples"] == 0 and media_mpeg.parse(b"\xff" * 1000)["samples"] == 0
+
+
+def test_op5_checksums_of_all_layers():
+    from tidelog.llm import media_mpeg
+
+    bits_of = lambda b: [x >> (7 - k) & 1 for x in b for k in range(8)]
+    rng = np.random.default_rng(3)
+    for version, layer, index, mode in ((3, 3, 5, 3), (3, 3, 9, 0), (2, 3, 5, 3), (3, 1, 5, 3), (3, 1, 8, 0), (3, 1, 8, 1), (3, 2, 8, 3), (3, 2, 10, 0), (3, 2, 10, 1), (2, 2, 6, 3), (3, 2, 2, 3)):
+        body = rng.integers(0, 256, 200, dtype=np.uint8).tobytes()
+        raw, h = frame_of(version, layer, index, 0, crc=True, body=body, mode=mode, ext=1)
+        if layer == 3:
+            covered = bits_of(raw[2:4] + raw[6 : 6 + h[5]])
+        else:
+            bits, channels = bits_of(raw[6:]), 1 if mode == 3 else 2
+            kbps = h[6] // channels
+            if layer == 1:
+                widths = [4] * 32
+            elif version == 2:
+                widths = [4] * 4 + [3] * 7 + [2] * 19
+            elif 56 <= kbps <= 80:
+                widths = [4] * 11 + [3] * 12 + [2] * 4
+            elif kbps >= 96:
+                widths = [4] * 11 + [3] * 12 + [2] * 7
+            else:
+                widths = [4] * 2 + [3] * 6
+            at = chosen = 0
+            bound = 8 if mode == 1 else 32
+            for band, n in enumerate(widths):
+                for _ in range(channels if band < bound else 1):
+                    if any(bits[at : at + n]):
+                        chosen += 1 if band < bound else channels
+                    at += n
+            covered = bits_of(raw[2:4]) + bits[: at + (2 * chosen if layer == 2 else 0)]
+        good = raw[:4] + crc_of(covered).to_bytes(2, "big") + raw[6:]
+        bad = good[:8] + bytes([good[8] ^ 16]) + good[9:]
+        p = media_mpeg.parse(good + good + bad)
+        assert (p["crc_ok"], p["crc_bad"]) == (2, 1), (version, layer, index, mode)
+
+
+def test_op5_tables_and_tags_of_other_writers():
+    from tidelog.llm import media_mpeg
+
+    one, h = frame_of(3, 3, 9, 0, mono=False)
+    vbri = b"VBRI" + (1).to_bytes(2, "big") + b"\x00\x00" + (75).to_bytes(2, "big") + (6 * h[0]).to_bytes(4, "big") + (5).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big")
+    vbri += b"".join(x.to_bytes(2, "big") for x in (h[0] // 2, h[0], h[0]))
+    head = one[:36] + vbri + one[36 + len(vbri) :]
+    p = media_mpeg.parse(head + one * 5)
+    t = p["table"]
+    assert (t["kind"], t["bytes"], t["frames"], t["frames_a_point"]) == ("VBRI", 6 * h[0], 5, 2) and t["points"].tolist() == [0, h[0] // 2 * 2, h[0] // 2 * 2 + 2 * h[0], h[0] // 2 * 2 + 4 * h[0]]
+    assert p["samples"] == 5 * 1152
+    info = one[: 4 + 32] + b"Info" + (3).to_bytes(4, "big") + (4).to_bytes(4, "big") + (4 * h[0]).to_bytes(4, "big")
+    p = media_mpeg.parse(info.ljust(h[0], b"\x00") + one * 4)
+    assert (p["table"]["kind"], p["table"]["frames"], p["table"]["bytes"], p["table"]["toc"]) == ("Info", 4, 4 * h[0], b"") and len(p["kinds"]) == 4
+    title = "Größe".encode("utf-16")
+    body = b"TIT2" + bytes([0, 0, 0, len(title) + 1]) + b"\x00\x00\x01" + title
+    id3 = b"ID3\x04\x00\x00" + bytes([0, 0, 0, len(body)]) + body
+    tail = b"TAG" + b"Old title".ljust(30, b"\x00") + b"Singer".ljust(30, b" ") + b"\x00" * 65
+    p = media_mpeg.parse(id3 + one * 3 + tail)
+    assert p["tags"]["TIT2"] == "Größe" and p["tags"]["artist"] == "Singer" and p["skipped"] == 0 and len(p["kinds"]) == 3
+
+
+def test_op6_ids_equal_over_a_whole_table(spark):
+    """The ids of both files of the vocabulary, over every text of a table and hard strings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    packing.check_ids()
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    own = t.encode_batch(texts, add_special_tokens=False)
+    assert all(packing.token_ids(x)[:-1].tolist() == e.ids for x, e in zip(texts, own, strict=True))
+
+
+def test_op4_one_owner_decides_before_words(spark):
+    """A single owner's value is live whatever words it holds; of two owners' values those with a
+    placeholder's word are examples."""
+    lone, shared, plain = "token=my1example9Qw8rTy2", "token=other1example9Qw8r", "token=Zx7cVb3nMq1wEr6t"
+    rows = [(1, lone, "a"), (2, shared, "a"), (3, shared, "b"), (4, plain, "a"), (5, plain, "b")]
+    got = {r.doc_id: r.n_live for r in secret_owners.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_clashing_columns_change_nothing(spark, awkward):
+    from tidelog.llm import language_id, media_mpeg, pii_bilstm, toxicity_nb
+
+    odd = awkward
+    for c in ("key", "node", "score", "label", "spans", "feature", "_id", "digest", "held_out", "lang_pred", "copies", "n", "_size", "u", "v", "_hot_key"):
+        odd = odd.withColumn(c, F.lit("x"))
+    for f in (lambda d: language_id.identify(d, None), media_mpeg.media_columns, lambda d: pii_bilstm.scan(d, None), lambda d: toxicity_nb.score(d, None), jaccard_join.links, secret_owners.scan):
+        a, b = f(awkward), f(odd)
+        assert a.columns == b.columns and sorted(map(str, a.drop("seek_offsets").collect())) == sorted(map(str, b.drop("seek_offsets").collect()))

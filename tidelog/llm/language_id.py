@@ -7,7 +7,10 @@ of their own.  Fitting uses at most ``TRAIN_PER_CLASS`` documents of each langua
 of at most ``TRAIN_CHARS`` characters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without
-usable labels everything is ``und``; repeated rows get one result each.
+usable labels everything is ``und``; repeated rows get one result each; votes and margins that
+are equal go to the language that comes first; a text of any length is scored whole; only
+doc_id and text are read for a prediction, so other columns' names don't matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
