@@ -81,6 +81,9 @@ class KeyOrder:
 
     sort_key: Callable[[Column], Column]
 
+    def order(self, key: Column) -> Column:
+        return self.sort_key(key)
+
     def hash(self, key: Column) -> Column:
         return F.xxhash64(self.sort_key(key))
 

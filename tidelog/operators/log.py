@@ -33,6 +33,23 @@ def gather(log: DataFrame, addresses: DataFrame, on: str = "seq") -> DataFrame:
     return log.join(addresses.select(on).distinct(), on, "left_semi")
 
 
+def gather_sorted(log: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Records at the listed addresses in address order, the order in which files hold them."""
+    return gather(log, addresses).orderBy("seq")
+
+
+#: An index batch of at most so many rows is sent to the log; a larger one is merged with it.
+NESTED_ROWS = 100_000
+
+
+def gather_by_size(index: DataFrame, log: DataFrame) -> tuple[DataFrame, str]:
+    """(records of an index batch, ``nested`` or ``merge``): a counted small batch is broadcast, so
+    the log is read where it lies; beyond ``NESTED_ROWS`` both sides are sorted and merged."""
+    few = len(index.select("seq").take(NESTED_ROWS + 1)) <= NESTED_ROWS
+    side = F.broadcast(index.select("seq").distinct()) if few else index.select("seq").distinct().hint("merge")
+    return log.join(side, "seq", "left_semi"), "nested" if few else "merge"
+
+
 def gather_in_key_order(index: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """An index batch (key, seq) with its records, in key order."""
     return index.select(key, "seq").join(log.drop(key), "seq").orderBy(key, "seq")

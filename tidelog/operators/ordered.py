@@ -32,24 +32,27 @@ def _ranged(df: DataFrame, group: list[str], order: list) -> DataFrame:
 
 
 def _carried(ranged: DataFrame, per_range: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """ranged with the columns of per_range (a row for each group and range) beside it."""
+    """ranged with the columns of per_range (a row for each group and range) beside it.  Ranges
+    follow each other in the order of groups, so only the first group of a range goes on from
+    the one before: the rows that carry anything are fewer than the ranges, and are broadcast."""
     names = {g: f"_g{i}" for i, g in enumerate([*group, "_p"])}
-    right = per_range.select(*(F.col(g).alias(n) for g, n in names.items()), *columns)
+    goes_on = F.row_number().over(W.partitionBy(*group).orderBy("_p")) > 1
+    right = per_range.withColumn("_on", goes_on).where("_on").select(*(F.col(g).alias(n) for g, n in names.items()), *columns)
     same = None
     for g, n in names.items():
         c = ranged[g].eqNullSafe(right[n])
         same = c if same is None else same & c
-    return ranged.join(right, same, "left").drop(*names.values())
+    return ranged.join(F.broadcast(right), same, "left").drop(*names.values())
 
 
 def running_sum(df: DataFrame, group: list[str], order: list, value: Column, name: str) -> DataFrame:
     """df with the sum of ``value`` up to and with each row, in its group and order."""
     r = _ranged(df.withColumn("_v", value), group, order)
     sums = r.groupBy(*group, "_p").agg(F.sum("_v").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.partitionBy(*group).orderBy("_p").rowsBetween(*_BEFORE)), F.lit(0))
+    before = F.sum("_s").over(W.partitionBy(*group).orderBy("_p").rowsBetween(*_BEFORE))
     inside = F.sum("_v").over(W.partitionBy("_p", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = _carried(r.withColumn("_i", inside), sums.select(*group, "_p", before.alias("_b")), group, ["_b"])
-    return out.withColumn(name, F.col("_i") + F.col("_b")).drop("_v", "_i", "_b", "_p")
+    out = _carried(r.withColumn("_i", inside), sums.withColumn("_b", before), group, ["_b"])
+    return out.withColumn(name, F.col("_i") + F.coalesce("_b", F.lit(0))).drop("_v", "_i", "_b", "_p")
 
 
 def fill_forward(df: DataFrame, group: list[str], order: list, column: str, name: str) -> DataFrame:
@@ -57,7 +60,8 @@ def fill_forward(df: DataFrame, group: list[str], order: list, column: str, name
     r = _ranged(df, group, order)
     by = W.partitionBy("_p", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     filled = r.withColumn("_f", F.last(column, ignorenulls=True).over(by))
-    tops = filled.groupBy(*group, "_p").agg(F.max_by("_f", F.struct(*order)).alias("_t"))
+    # the last of each range, by an aggregate with partial results
+    tops = r.groupBy(*group, "_p").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias("_t"))
     carry = F.last("_t", ignorenulls=True).over(W.partitionBy(*group).orderBy("_p").rowsBetween(*_BEFORE))
-    out = _carried(filled, tops.select(*group, "_p", carry.alias("_c")), group, ["_c"])
+    out = _carried(filled, tops.withColumn("_c", carry), group, ["_c"])
     return out.withColumn(name, F.coalesce("_f", "_c")).drop("_f", "_c", "_p")

@@ -22,6 +22,13 @@ def merkle_level(blocks: DataFrame, fan: int = 64) -> DataFrame:
     return blocks.groupBy(floor_div(F.col("block"), fan).alias("parent")).agg(F.xxhash64(F.transform(ordered, lambda s: F.concat_ws(":", s["block"].cast("string"), s["checksum"].cast("string"))).cast("string")).alias("h")).select(F.col("parent").alias("block"), F.col("h").cast("decimal(38,0)").alias("checksum"))
 
 
+def merkle_root(blocks: DataFrame, levels: int, fan: int = 64) -> DataFrame:
+    """The one checksum (block 0) that ``levels`` of parents leave of fewer than fan**levels blocks."""
+    for _ in range(levels):
+        blocks = merkle_level(blocks, fan)
+    return blocks
+
+
 def block_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Blocks whose checksums differ or that only one side has."""
     right = b.select("block", F.col("checksum").alias("_other"))

@@ -99,9 +99,65 @@ def wal_commit(spark, d):
     return wal.commit(wal.append(spark.createDataFrame([], "entry long, idx long"), o, ["entry"]), path).select("idx", "entry")
 
 
+@query("B34", "SELECT count(*) AS live FROM s")
+def ts_flush(spark, d):
+    path = new_path(spark, "flush")
+    series.append(samples(spark, d), path)
+    return series.stats_all(spark.read.schema(schemas.SERIES).parquet(path)).select("live")
+
+
+@query("B38", "SELECT domain, count(*) AS n FROM z GROUP BY domain")
+def collection_flush(spark, d):
+    return co.cardinality(wal.commit(zset(spark, d), new_path(spark, "flush")))
+
+
+@query("B35", "SELECT true AS persisted, count(*) AS n FROM q")
+def queue_flush(spark, d):
+    q = wal.commit(messages(spark, d), new_path(spark, "flush"))
+    return wal.persisted(q.withColumnRenamed("seq", "idx"), 10).crossJoin(q.agg(F.count("*").alias("n")))  # one row each
+
+
 # -- the log
 
 
+@query("DJ7", "SELECT seq, key FROM kvlog WHERE seq IN (SELECT seq FROM newest WHERE key < 100)")
+def log_gather_by_size(spark, d):
+    lg = kv_log(spark, d)
+    few = lg.where("key < 100").groupBy("key").agg(F.max("seq").alias("seq"))
+    return log.gather_by_size(few, lg)[0].select("seq", "key")
+
+
+@query("G11 A4", "SELECT seq, key FROM kvlog WHERE seq IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 3) ORDER BY seq")
+def log_gather_sorted(spark, d):
+    return log.gather_sorted(kv_log(spark, d), _read(spark, d, "lineitem").where("l_linenumber = 3").select(F.col("l_partkey").alias("seq"))).select("seq", "key")
+
+
+@query("J38 F4 L18", "SELECT key, seq, is_tombstone FROM newest")
+def kv_checkpoint(spark, d):
+    """The newest records as a written checkpoint, brought up to date by what was logged after it."""
+    lg = kv_log(spark, d)
+    kept = settled(log.newest(lg.where("seq <= 3000"), ["key"]), "checkpoint")
+    return log.refresh(kept, lg.where("seq > 3000"), ["key"]).select("key", "seq", "is_tombstone")
+
+
+@query("G12", "SELECT DISTINCT domain FROM z")
+def collection_domains(spark, d):
+    return co.domains(zset(spark, d))
+
+
+@query("E24", "SELECT true AS same_self, false AS same_other")
+def merkle_root(spark, d):
+    from tidelog.plans.catalog import _blocks
+
+    roots = []
+    for changed in (False, False, True):
+        b = replica.block_checksums(_blocks(spark, d, changed), "l_orderkey", 64, ["l_orderkey", "l_linenumber", "l_quantity"])
+        roots.append(replica.merkle_root(b, 4).agg(F.max("checksum").alias(f"c{len(roots)}")))
+    return roots[0].crossJoin(roots[1]).crossJoin(roots[2]).select((F.col("c0") == F.col("c1")).alias("same_self"), (F.col("c0") == F.col("c2")).alias("same_other"))  # one row each
+
+
+
+
 @query("L14 J11", "SELECT seq, key FROM newest WHERE NOT is_tombstone")
 def log_compact(spark, d):
     return log.compact(kv_log(spark, d), ["key"], new_path(spark, "compact")).select("seq", "key")
@@ -304,7 +360,7 @@ def index_switch(spark, d):
 
 @query("K4 I12 I13", f"SELECT key, row_number() OVER (ORDER BY {_SWAP}) AS place FROM (SELECT DISTINCT key FROM kvlog)")
 def key_order(spark, d):
-    keys = kv_log(spark, d).select("key").distinct().withColumn("k", codecs.BYTES.sort_key(F.col("key")))
+    keys = kv_log(spark, d).select("key").distinct().withColumn("k", codecs.BYTES.order(F.col("key")))
     return log.dense_index(keys, ["k"], 1, "place").select("key", "place")
 
 
