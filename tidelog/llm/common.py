@@ -42,11 +42,12 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session, which bounds what a task
-    holds outside the heap and in its Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow and Parquet batches of at most BATCH_ROWS rows in this session, which bounds what a
+    task holds of long texts: outside the heap, in its Python worker, and in the vectors that
+    the Parquet reader fills (a batch of its usual 4,096 texts is one array of tens of MB)."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:

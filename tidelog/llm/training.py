@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, ids_and_texts
+from .common import fold, ids_and_texts, small_batches
 
 
 def documents_sample(docs: DataFrame, most: int, max_chars: int) -> list[str]:
     """Texts of at most ``most`` documents of 1 to ``max_chars`` characters, chosen by a hash
     of the id.  Ids are drawn from the id column alone; texts are joined to those drawn, and
     the least of those that share an id counts, so at most ``most`` texts reach the driver."""
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
     share = min(1.0, 8 * most / max(1, docs.count()))
     texts = ids_and_texts(docs).where(f"length(text) between 1 and {max_chars}")
@@ -37,6 +38,7 @@ def labelled_sample(
     More than ``most_labels`` labels are an error: none is left out silently.
     Rows whose id, label or text is null teach nothing; of repeated ids one counts, with the
     least of its labels and texts, chosen before anything reaches the driver."""
+    small_batches(docs.sparkSession)
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("string").alias("label"))
         .where("_id is not null and label is not null")
