@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidelog.session import discard, settled_at
 
+from .common import release
+
 #: Keys with more rows than this share of all are hot; there are no more of them than this.
 HOT_KEYS = 10_000
 
@@ -65,5 +67,6 @@ def connected_components(links: DataFrame, name: str, rounds: int = 60) -> DataF
         state = now
     else:
         raise RuntimeError("connected components did not settle")
+    release(spark)
     roots = pairs.select(F.col("v").alias("node")).distinct().join(pairs.select(F.col("u").alias("node")), "node", "left_anti")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, ids_and_texts, map_batches, read_table, texts_of
+from .common import fold, ids_and_texts, map_batches, read_table, release, texts_of
 from .textvec import _word_hashes_of, code_points, pieces, tables_for
 from .training import labelled_sample, minimise
 
@@ -245,7 +245,9 @@ def document_scores(texts: list[str | None], model: dict | None) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return fit(labelled_sample(docs, labels, "quality", 5, 0, TRAIN_PER_CLASS, TRAIN_CHARS))
+    model = fit(labelled_sample(docs, labels, "quality", 5, 0, TRAIN_PER_CLASS, TRAIN_CHARS))
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
