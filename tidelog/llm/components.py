@@ -14,6 +14,10 @@ from .common import release
 HOT_KEYS = 10_000
 
 
+#: Rows of links that one file of a round's table holds.
+FILE_LINKS = 200_000
+
+
 def hot_above(rows: int) -> int:
     """More rows of one key than this are hot: at most ``HOT_KEYS`` keys of ``rows`` rows are."""
     return max(100, rows // HOT_KEYS)
@@ -54,10 +58,11 @@ def connected_components(links: DataFrame, name: str, rounds: int = 60) -> DataF
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = join_by_key(both, least, "u", "n", most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large, between = settled_at(large, f"{name}-large")
+        files = -(-2 * state[0] // FILE_LINKS) or 1  # a round has no more links than twice those before
+        large, between = settled_at(large.coalesce(files), f"{name}-large")
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_by_key(large, down, "u", "n", most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        after, next_path = settled_at(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
+        after, next_path = settled_at(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(files), f"{name}-stars")
         now = mark(after)
         discard(spark, path)
         discard(spark, between)
