@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, hypergeometric_shards, jaccard_join, packing, quality_crf, registry, secret_owners
 
+from .conftest import prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -150,6 +153,46 @@ def test_op1_normal_products_and_terms():
     assert np.allclose(decontaminate._normal(sparse, m, 20), dense.T @ (dense @ m), atol=1e-5)
 
 
+def test_op1_space_is_made_of_every_passage(spark, docs):
+    """The product that the space comes from is that of all passages of all rows, whatever their
+    ids, in any number of tasks, of texts longer than a step's blocks too."""
+    from tidelog.llm.textvec import word_hashes
+
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [*(t for _, t in docs), None, "", "one two " * 16, " ".join(t for _, t in docs[:60]) * 6]
+    x = local_index([t or "" for t in texts], bench)
+    words, at = word_hashes(texts)
+    assert np.diff(at).max() > 2 * 2048 * decontaminate.STEP
+    t = x.numbers_of(words)
+    every = [t[a + k : min(b, a + k + 64)] for a, b in zip(at, at[1:], strict=False) for k in range(0, b - a, 32)]
+    m = np.linalg.qr(np.random.default_rng(1).normal(size=(x.width, 9)))[0].astype(np.float32)
+    want = decontaminate._normal(decontaminate._unit_rows(every, x.idf), m, len(every))
+    for parts in (1, 7):
+        frame = spark.createDataFrame([(None if i % 3 else 4, s) for i, s in enumerate(texts)], "doc_id long, text string").repartition(parts)
+        got = decontaminate._sketch(frame, x, m, len(every))
+        assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+
+
+def test_op1_ids_do_not_change_the_space(spark):
+    """More passages than a sample would hold: rows with other ids, or one id, have equal links."""
+    rng = random.Random(3)
+    bench = [(i, prose(rng, 50)) for i in range(30)]
+    texts = [prose(rng, 60) for _ in range(9000)]
+    for k in range(300):
+        words = bench[k % 30][1].split()
+        texts[k * 29] = " ".join([*texts[k * 29].split()[:20], *(f"other{j}" if j % 9 == 4 else w for j, w in enumerate(words))])
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    links = []
+    for ids in (range(9000), range(50_000, 59_000), [7] * 9000):
+        frame = spark.createDataFrame(list(zip(ids, texts, texts, strict=True)), "doc_id long, text string, own string")
+        found = decontaminate._links(frame, items).collect()
+        links.append(sorted((r.own, r.item_id, round(r.cosine, 4)) for r in found))
+    assert len(links[0]) >= 270
+    for other in links[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in links[0]]
+        assert max(abs(a[2] - b[2]) for a, b in zip(other, links[0], strict=True)) <= 2e-4
+
+
 def held_out_accuracy(spark, name, column):
     r = registry.QUERIES[name](spark, "/root/testdata/sf0.01").where("held_out")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", column)

@@ -4,13 +4,14 @@
    by hash in ``BUCKETS`` terms.  One pass over all documents counts in how many documents
    each occurs (an item's word in a run of ``RUN`` words that an item holds too is not counted,
    or an item that many documents repeat would lose its weight; tasks sum before the shuffle).
-   It also draws a bounded sample of passages, ``SAMPLE_PASSAGES``, that only the fit uses.
 2. Latent space: a randomised singular value decomposition of the TF-IDF matrix whose rows
-   are the sampled passages and the items' passages.  Its rank is half the number of items'
-   passages and ``RANK`` at most, so words that occur together share directions, words
-   that no item holds among them.  Each range-finder step is a job on the distributed
-   sample; the driver sums matrices of terms by rank.
-3. Search: a second pass finds every exact occurrence of an item's words, whatever they
+   are all passages of all documents and the items' passages.  Its rank is half the number of
+   items' passages and ``RANK`` at most, so words that occur together share directions, words
+   that no item holds among them.  The range finder begins with the items' own directions.  A
+   second pass multiplies them by the passages' Gram matrix, a matrix of terms by rank that
+   tasks sum before the shuffle; by that product (Nystroem's form of the Gram matrix, exact on
+   the directions it was taken of) every step weighs all passages without reading them again.
+3. Search: a third pass finds every exact occurrence of an item's words, whatever they
    weigh (by hashes of ``GRAM`` words, then word by word), and projects every passage
    (overlapping windows of words) of every document.  A passage is a candidate for an item if
    in the latent space their cosine reaches ``COSINE`` and the passage covers ``COVER`` of the
@@ -21,7 +22,7 @@
    answer, its last ``ANSWER_WORDS`` weighty words.  Texts whose words, in any order, cannot
    reach ``LCS`` are left before that, exactly.
 
-Items go in blocks of ``BLOCK_WINDOWS`` passages, which bounds what is broadcast and costs two
+Items go in blocks of ``BLOCK_WINDOWS`` passages, which bounds what is broadcast and costs three
 passes each; usual benchmarks are one block.  Every term has a positive weight, however many
 documents hold it, and every item is searched for.
 
@@ -40,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,12 @@ from .common import fresh, ids_and_texts, read_table, release, small_batches, te
 from .textvec import _MULT, slices, word_hashes
 
 STEP, WINDOW = 32, 64  # words
-SAMPLE_PASSAGES = 20_000
 BUCKETS_BITS = 13
 BUCKETS = 1 << BUCKETS_BITS
-#: Items' passages searched at once, the most directions kept, and steps of the range finder.
-BLOCK_WINDOWS, RANK, POWER_STEPS = 8192, 128, 2
-#: Weight of all sampled passages together, as a share of the items'.
+#: Items' passages searched at once, the most directions kept, and steps of the range finder
+#: over items and documents, and before over the items alone.
+BLOCK_WINDOWS, RANK, POWER_STEPS, ITEM_STEPS = 8192, 128, 2, 6
+#: Weight of all passages of the documents together, as a share of the items'.
 SAMPLE_SHARE = 1 / 2
 COSINE, COVER, LCS, ANSWER, ANSWER_WORDS = 0.55, 0.25, 0.5, 0.35, 8
 #: Terms in more than this share of all documents are common: an answer is looked for by others.
@@ -96,39 +98,120 @@ def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?:])\s+|\n+", text) if s.strip()]
 
 
-def _counts(docs: DataFrame, index: Index, rate: float) -> DataFrame:
-    """Rows (term, n): documents that hold the term, by task; and sampled passages as
-    (term -1, n = a random rank, passage = term numbers)."""
+def _by_term(t: np.ndarray, width: int) -> np.ndarray:
+    """The stable order of term numbers; those of 16 bits are sorted in linear time."""
+    return np.argsort(t.astype(np.uint16) if width <= 1 << 16 else t, kind="stable")
+
+
+def _counts(docs: DataFrame, index: Index) -> DataFrame:
+    """Rows (term, n): documents that hold the term, by task; and the passages as term -1."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = sent.value
         total = np.zeros(x.width, dtype=np.int64)
-        ranks, passages = [], []
+        passages = 0
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch)
+            texts = texts_of(batch)
             for a, b in slices(texts):
                 words, at = word_hashes(texts[a:b])
-                t = x.numbers_of(words)
                 pos = np.flatnonzero(~_copied(words, at, x.runs))
+                t = x.numbers_of(words)[pos]
                 owner = np.searchsorted(at, pos, side="right") - 1
-                pairs = np.unique(owner * x.width + t[pos])
-                total += np.bincount(pairs % x.width, minlength=x.width)
-                for i in range(b - a):
-                    n = int(at[i + 1] - at[i])
-                    rng = np.random.default_rng((ids[a + i].as_py() or 0) & 0xFFFFFFFF)
-                    for k in np.flatnonzero(rng.random(n // STEP + 1) < rate):
-                        own = t[at[i] + k * STEP : min(at[i + 1], at[i] + k * STEP + WINDOW)]
-                        ranks.append(int(rng.integers(0, 1 << 62)))
-                        passages.append(own.astype(np.int32).tobytes())
+                order = _by_term(t, x.width)
+                t, owner = t[order], owner[order]
+                new = (np.diff(t, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)
+                total += np.bincount(t[new], minlength=x.width)
+                passages += int((-(-np.diff(at) // STEP)).sum())
         some = np.flatnonzero(total)
-        yield pa.record_batch(
-            [pa.array([*some.tolist(), *([-1] * len(ranks))], pa.int32()), pa.array([*total[some].tolist(), *ranks], pa.int64()), pa.array([None] * len(some) + passages, pa.binary())],
-            names=["term", "n", "passage"],
-        )
+        yield pa.record_batch([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].tolist(), passages], pa.int64())], names=["term", "n"])
+
+    return ids_and_texts(docs).mapInArrow(run, "term int, n long")
+
+
+def _laid(t: np.ndarray, at: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grid, start, owner): terms in blocks of STEP words of one text, short ones filled up with
+    ``blank``; each block's first word and its text.  A passage is a block and the next one of
+    its text."""
+    counts = np.diff(at)
+    blocks = -(-counts // STEP)
+    to = np.concatenate([[0], np.cumsum(blocks)])
+    start = np.repeat(at[:-1] - to[:-1] * STEP, blocks) + np.arange(to[-1]) * STEP
+    grid = np.full(to[-1] * STEP, blank, dtype=np.intp)
+    grid[np.repeat(to[:-1] * STEP - at[:-1], counts) + np.arange(len(t))] = t
+    return grid.reshape(-1, STEP), start, np.repeat(np.arange(len(counts)), blocks)
+
+
+def _block_sums(grid: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The sum of each block's vectors; the last vector is the blank's, zero."""
+    out = np.empty((len(grid), vectors.shape[1]), dtype=np.float32)
+    ones, room = np.ones((1, STEP), dtype=np.float32), np.empty((64 * STEP, vectors.shape[1]), dtype=np.float32)
+    for a in range(0, len(grid), 64):
+        some = grid[a : a + 64]
+        own = np.take(vectors, some.ravel(), axis=0, out=room[: some.size], mode="clip")
+        np.matmul(ones, own.reshape(*some.shape, -1), out=out[a : a + 64, None])
+    return out
 
-    return ids_and_texts(docs).mapInArrow(run, "term int, n long, passage binary")
+
+def _add_by_term(term: np.ndarray, place: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Adds rows[place] to out[term], for sorted terms: those of many places as a matrix product,
+    all others by their first place, their second and so on."""
+    count = np.bincount(term, minlength=len(out))
+    begin = np.cumsum(count) - count
+    own = np.flatnonzero(count)
+    own = own[np.argsort(-count[own], kind="stable")]
+    many = int(np.searchsorted(-count[own], -24, side="left"))
+    if many:
+        number = np.full(len(out), -1)
+        number[own[:many]] = np.arange(many)
+        hit = np.flatnonzero(number[term] >= 0)
+        held = np.bincount(number[term[hit]] * len(rows) + place[hit], minlength=many * len(rows))
+        out[own[:many]] += held.reshape(many, -1).astype(np.float32) @ rows
+    own = own[many:]
+    if len(own):
+        total = rows[place[begin[own]]]
+        for j in range(1, int(count[own[0]])):
+            some = own[: int(np.searchsorted(-count[own], -j, side="left"))]
+            total[: len(some)] += rows[place[begin[some] + j]]
+        out[own] += total
+
+
+def add_products(t: np.ndarray, at: np.ndarray, weight: np.ndarray, vectors: np.ndarray, out: np.ndarray) -> None:
+    """Adds what, times the terms' weights, is A' A m for the matrix A of the unit TF-IDF rows of
+    all passages of some texts; vectors holds m times the weights, and a row of zeros."""
+    grid, start, owner = _laid(t, at, len(weight))
+    n = len(grid)
+    if not n:
+        return
+    more = np.append(owner[1:] == owner[:-1], False)  # a block of the same text follows
+    size = np.diff(np.append(start, len(t)))
+    own, cross = np.zeros(n), np.zeros(n)
+    parts = []
+    for a in range(0, n, 2048):  # so that a long text takes time in proportion to it
+        b = min(a + 2048, n)
+        end = min(b + 1, n)  # the last passage needs one block more
+        term = t[start[a] : start[end - 1] + size[end - 1]]
+        order = _by_term(term, len(weight))
+        term, place = term[order], np.repeat(np.arange(end - a), size[a:end])[order]
+        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+        u, p = term[new], place[new]
+        v = np.diff(np.append(new, len(term))) * weight[u]
+        own[a:end] = np.bincount(p, weights=v * v, minlength=end - a)
+        k = np.flatnonzero((u[1:] == u[:-1]) & (p[1:] == p[:-1] + 1))
+        cross[a:b] = np.bincount(p[k], weights=v[k] * v[k + 1], minlength=b - a)
+        mine = place < b - a
+        parts.append((a, b, term[mine], place[mine]))
+    squares = own + np.where(more, np.append(own[1:], 0.0) + 2 * cross, 0.0)
+    sums = _block_sums(grid, vectors)
+    next_of = np.flatnonzero(more) + 1
+    passage = sums.copy()
+    passage[next_of - 1] += sums[next_of]
+    passage /= np.maximum(squares, 1e-24).astype(np.float32)[:, None]
+    rows = passage.copy()  # what each block's words get: of its passage and of the one before
+    rows[next_of] += passage[next_of - 1]
+    for a, b, term, place in parts:
+        _add_by_term(term, place, rows[a:b], out)
 
 
 def _unit_rows(rows: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,32 +243,63 @@ def _normal(rows: tuple, m: np.ndarray, n: int) -> np.ndarray:
     return _times(term[order], row[order], value[order], left, len(m))
 
 
-def _sketch(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' A right for the matrix A of the sampled passages' unit TF-IDF rows."""
-    sent = sample.sparkSession.sparkContext.broadcast((idf, right.astype(np.float32)))
+def _sketch(docs: DataFrame, index: Index, right: np.ndarray, passages: int) -> np.ndarray:
+    """A' A right for the matrix A of the unit TF-IDF rows of all passages of all documents.
+    Tasks are as many as write a quarter of the texts' size at most, or two a core; their
+    sums are added in one order, whichever comes first."""
+    spark, rank, piece = docs.sparkSession, right.shape[1], 128
+    vectors = np.vstack([index.idf[:, None] * right, np.zeros((1, rank))]).astype(np.float32)
+    sent = spark.sparkContext.broadcast((index, vectors))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, passages * STEP * 6 // (4 * 4 * right.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, m = sent.value
-        out = np.zeros(m.shape, dtype=np.float32)
+        x, m = sent.value
+        out = np.zeros((x.width, rank), dtype=np.float32)
         for batch in batches:
-            rows = [np.frombuffer(raw, dtype=np.int32).astype(np.int64) for raw in batch.column(0).to_pylist()]
-            out += _normal(_unit_rows(rows, weight), m, len(rows))
-        yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], names=["m"])
-
-    parts = sample.select("passage").coalesce(4).mapInArrow(run, "m binary").toLocalIterator()
-    out = sum((np.frombuffer(r["m"], dtype=np.float32).reshape(right.shape) for r in parts), np.zeros(right.shape, dtype=np.float32))
+            texts = texts_of(batch)
+            for a, b in slices(texts):
+                words, at = word_hashes(texts[a:b])
+                add_products(x.numbers_of(words), at, x.idf, m, out)
+        own = TaskContext.get().partitionId()
+        for a in range(0, x.width, piece):
+            some = out[a : a + piece]
+            if some.any():
+                some = (some * x.idf[a : a + piece, None]).astype(np.float32)
+                yield pa.record_batch([pa.array([a], pa.int32()), pa.array([own], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["first", "task", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for first, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                m = np.frombuffer(raw.as_buffer(), dtype=np.float32).astype(np.float64)
+                total[first] = total[first] + m if first in total else m
+        for first, m in total.items():
+            yield pa.record_batch([pa.array([first], pa.int32()), pa.array([m.astype(np.float32).tobytes()], pa.binary())], names=["first", "m"])
+
+    parts = ids_and_texts(docs).coalesce(tasks).mapInArrow(run, "first int, task int, m binary")
+    sums = parts.repartition("first").sortWithinPartitions("first", "task").mapInArrow(add, "first int, m binary")
+    out = np.zeros(right.shape, dtype=np.float32)
+    for r in sums.toLocalIterator():  # a matrix of terms by rank
+        m = np.frombuffer(r["m"], dtype=np.float32).reshape(-1, rank)
+        out[r["first"] : r["first"] + len(m)] = m
     sent.destroy()
     return out
 
 
-def latent_space(sample: DataFrame, items: tuple, n: int, idf: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (term, rank) of the n items' rows on top of the passages', which
-    weigh ``SAMPLE_SHARE`` of the items' together."""
-    right = np.random.default_rng(seed).normal(size=(len(idf), rank)).astype(np.float32)
-    scale = SAMPLE_SHARE * n / max(1, sample.count())
+def latent_space(docs: DataFrame, index: Index, items: tuple, passages: int, rank: int, seed: int = 5) -> np.ndarray:
+    """Right singular vectors (term, rank) of the items' rows on top of those of all the documents'
+    passages, which weigh ``SAMPLE_SHARE`` of the items' together."""
+    n = len(index.windows)
+    right = np.linalg.qr(np.random.default_rng(seed).normal(size=(index.width, rank)))[0].astype(np.float32)
+    for _ in range(ITEM_STEPS):  # the shift keeps directions beyond the items' number apart
+        right = np.linalg.qr(_normal(items, right, n) + np.float32(0.01) * right)[0].astype(np.float32)
+    far = _sketch(docs, index, right, passages) if passages else np.zeros_like(right)
+    core = right.T.astype(np.float64) @ far
+    core = np.linalg.pinv((core + core.T) / 2, rcond=1e-6, hermitian=True)
+    share = SAMPLE_SHARE * n / max(1, passages)
     for _ in range(POWER_STEPS):
-        right = _sketch(sample, idf, right) * scale + _normal(items, right, n)
-        right = np.linalg.qr(right)[0].astype(np.float32)
+        step = far @ (share * (core @ (far.T @ right))).astype(np.float32)
+        right = np.linalg.qr(step + _normal(items, right, n))[0].astype(np.float32)
     return right
 
 
@@ -237,7 +351,7 @@ class Index:
         return rows
 
     def project(self, rows: tuple, space: np.ndarray) -> None:
-        self.vectors = (self.idf[:, None] * space).astype(np.float32)  # of a term, once
+        self.vectors = np.vstack([self.idf[:, None] * space, np.zeros((1, space.shape[1]))]).astype(np.float32)  # of a term, once; then of none
         q = _times(*rows[:3], space, len(self.windows))
         norm = np.sqrt((q**2).sum(axis=1))
         self.q = (q / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
@@ -317,28 +431,20 @@ def search(texts: list[str | None], x: Index) -> list[tuple[int, int, float, flo
     """(text, item, cosine, lcs, answer, first word, last word + 1) of every confirmed link."""
     words, at = word_hashes(texts)
     t = x.numbers_of(words)
-    counts = np.diff(at)
-    blocks = -(-counts // STEP)
-    to = np.concatenate([[0], np.cumsum(blocks)])
-    if not to[-1]:
+    grid, start, owner = _laid(t, at, x.width)
+    if not len(grid):
         return []
-    start = np.repeat(at[:-1] - to[:-1] * STEP, blocks) + np.arange(to[-1]) * STEP
-    owner = np.repeat(np.arange(len(texts)), blocks)
     stop = np.minimum(start + WINDOW, at[1:][owner])
     exact: dict[tuple[int, int], int] = {}  # the first place of each
     for i, text, place in occurrences(words, at, x):
         for d, first in zip(*np.unique(text, return_index=True), strict=True):
             exact[int(d), i] = int(place[first] - at[d])
-    z = np.empty((to[-1], x.vectors.shape[1]), dtype=np.float32)  # of blocks of STEP words
-    for a in range(0, to[-1], 512):
-        b = min(a + 512, to[-1])
-        low, high = start[a], start[b] if b < to[-1] else len(t)
-        z[a:b] = np.add.reduceat(x.vectors[t[low:high]], start[a:b] - low, axis=0)
+    z = _block_sums(grid, x.vectors)
     more = np.flatnonzero(owner[:-1] == owner[1:])
     passage = z.copy()  # a passage is a block and the next one of its text
     passage[more] += z[more + 1]
     out: dict[tuple[int, int], list] = {}
-    for a in range(0, to[-1], 512):
+    for a in range(0, len(grid), 512):
         some = passage[a : a + 512]
         s = some @ x.q.T
         cosine = s / np.maximum(np.sqrt((some**2).sum(axis=1)), 1e-12)[:, None]
@@ -347,14 +453,23 @@ def search(texts: list[str | None], x: Index) -> list[tuple[int, int, float, flo
             if key not in exact:
                 out.setdefault(key, []).append((float(cosine[r, k]), int(start[a + r]), int(stop[a + r])))
     found = [(d, i, 1.0, 1.0, 1.0, a, a + int(x.at[i + 1] - x.at[i])) for (d, i), a in exact.items()]
+    marked = np.zeros(x.width, dtype=bool)
     for (d, i), spots in out.items():
         n = int(x.at[i + 1] - x.at[i])
+        own = x.numbers[x.at[i] : x.at[i + 1]]
+        weight = x.idf[own]
+        least = LCS * weight.sum()
         best: tuple | None = None
         done = -1
         for cosine, a, b in sorted(spots, key=lambda c: c[1]):
             if a < done:  # the region of the spot before held this passage
                 continue
             lo, hi = max(int(at[d]), a - n), min(int(at[d + 1]), b + n)
+            marked[t[lo:hi]] = True
+            most = weight[marked[own]].sum()
+            marked[t[lo:hi]] = False
+            if most < least:  # in no order, as _held finds more slowly
+                continue
             region = words[lo:hi]
             share = _held(i, region, x)
             if share >= LCS:
@@ -402,15 +517,15 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], size: int, schema: str
     if not len(words):
         return None
     index = Index(block, Terms(words), words, at)
-    rate = min(1.0, SAMPLE_PASSAGES / max(1, size) / 4)
-    counted = written(_counts(docs, index, rate), "terms")
-    df = np.zeros(index.width)
-    for r in counted.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each term of the block
-        df[r["term"]] = r["n"]
+    df, passages = np.zeros(index.width), 0
+    for r in _counts(docs, index).groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each term of the block
+        if r["term"] < 0:
+            passages = r["n"]
+        else:
+            df[r["term"]] = r["n"]
     rows = index.weigh(np.log((size + 1) / (df + 1)))
-    sample = written(counted.where("term < 0").orderBy("n").limit(SAMPLE_PASSAGES).select("passage"), "passages")
     rank = int(min(RANK, max(8, len(index.windows) // 2), index.width))
-    index.project(rows, latent_space(sample, rows, len(index.windows), index.idf, rank))
+    index.project(rows, latent_space(docs, index, rows, passages, rank))
     sent = docs.sparkSession.sparkContext.broadcast(index)
     release(docs.sparkSession)
 
