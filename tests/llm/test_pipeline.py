@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
 from tidelog.llm import decontaminate, jaccard_join, quality_crf
 
+from .conftest import prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -38,3 +44,21 @@ def test_awkward_and_empty(spark, folder):
 
 def test_quality_needs_labels(spark, awkward):
     assert quality_crf.fit([]) is None and list(quality_crf.document_scores(["a", None], None)) == [0.5, 0.5]
+
+
+def test_decontamination_learns_from_every_passage(spark, monkeypatch):
+    """The stage's latent space is the same whatever ids its rows have: no passage is drawn by one."""
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(9000)]
+    spaces = []
+    project = decontaminate.Index.project
+
+    def kept(index, rows, space):
+        spaces.append(space @ (space.T @ np.linspace(-1, 1, len(space))))  # of the space, whatever its basis
+        project(index, rows, space)
+
+    monkeypatch.setattr(decontaminate.Index, "project", kept)
+    for first in (0, 70_000):
+        frame = spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        decontaminate.keep_clean(spark, frame, SF)
+    assert len(spaces) == 2 and np.abs(spaces[0] - spaces[1]).max() <= 1e-3 * np.abs(spaces[0]).max()
