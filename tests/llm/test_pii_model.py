@@ -82,6 +82,43 @@ def test_whole_texts_decode_as_one_chain(model, held):
     assert np.allclose(alone, score[at[40] : at[41]], atol=1e-4)
 
 
+def test_characters_are_summed_once_and_by_tag_only_where_unsure(model, held, monkeypatch):
+    """What is anchored is what running sums over the whole chain give for each tag, while only a
+    small part of the characters is summed for each."""
+    table = " ".join(pii.generated(np.random.default_rng(7))[0] for _ in range(100))
+    score, _ = pii.evidence([*held[:100], table], model)
+    trans = model["trans"].astype(float)
+    outside, summed = pii._outside, []
+    monkeypatch.setattr(pii, "_outside", lambda lost, gain: (summed.append(len(lost)), outside(lost, gain))[1])
+    got = pii.anchored(score, trans)
+    assert sum(summed) <= 1.5 * len(score)
+    want = np.ones(len(score), dtype=bool)
+    for y in range(1, 5):
+        others = [a for a in range(5) if a != y]
+        gain = max(0, (trans[others, y] - trans[others, 0]).max()) + max(0, (trans[y, others] - trans[0, others]).max()) - trans[y, y] + trans[0, 0]
+        want &= outside(score[:, 0] - score[:, y] - (trans[y, y] - trans[0, 0]), gain)
+    assert not (got & ~want).any() and (want & ~got).mean() <= 0.01 and not got.all()
+
+
+def test_evidence_of_texts_that_end_anywhere_in_a_window(model):
+    """Texts of every length about the windows' borders, among others, by brute force."""
+    rng = np.random.default_rng(6)
+    texts = ["".join("+49 ab@C.d1"[i] for i in rng.integers(0, 11, n)) for n in (1, 95, 96, 97, 127, 128, 129, 191, 192, 193, 223, 224, 225, 0, 320, 321, 1000)]
+    score, at = pii.evidence(texts, model)
+    weight = np.minimum(np.arange(1, pii.WINDOW + 1), np.arange(pii.WINDOW, 0, -1))
+    for text, a, b in zip(texts, at, at[1:], strict=False):
+        n = len(text)
+        assert b - a == n
+        total, share = np.zeros((n + 2 * pii.WINDOW, 5)), np.zeros(n + 2 * pii.WINDOW)
+        for start in range(0, max(1, n - pii.WINDOW + pii.STEP), pii.STEP) if n else ():
+            window = np.full(pii.WINDOW, pii._BLANK)
+            some = pii.classes(text[start : start + pii.WINDOW])
+            window[: len(some)] = some
+            total[start : start + pii.WINDOW] += pii.emissions(window[:, None], model)[:, 0] * weight[:, None]
+            share[start : start + pii.WINDOW] += weight
+        assert np.allclose(score[a:b], total[:n] / np.maximum(share[:n, None], 1), atol=1e-4)
+
+
 def test_evidence_is_the_weighted_mean_of_all_windows(model):
     text = "call +49 (030) 123-4567 or 4111.1111.1111.1111 " * 11
     score, _ = pii.evidence([text], model)

@@ -225,7 +225,8 @@ def emissions(x: np.ndarray, p: dict) -> np.ndarray:
     size = len(wo) // 2
     out = _plain_states(x, p, "f") @ wo[:size]
     out += (_plain_states(np.ascontiguousarray(x[::-1]), p, "b") @ wo[size:])[::-1]
-    out += p["bo"]
+    flat = out.reshape(len(x), -1)
+    flat += np.tile(p["bo"], x.shape[1])
     return out
 
 
@@ -425,7 +426,7 @@ def holds(kind: str, s: str) -> bool:
 
 
 def _windowed(flat: np.ndarray) -> np.ndarray:
-    """A writable view (window, place, ...) of the windows at multiples of STEP."""
+    """A view (window, place, ...) of the windows at multiples of STEP."""
     n = max(0, (len(flat) - WINDOW) // STEP + 1)
     return np.lib.stride_tricks.as_strided(flat, (n, WINDOW, *flat.shape[1:]), (STEP * flat.strides[0], *flat.strides))
 
@@ -439,47 +440,79 @@ def evidence(texts: list[str], p: dict) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate([[0], np.cumsum(room)])
     first = np.concatenate([[0], np.cumsum(windows)])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    x = np.full(off[-1], _BLANK, dtype=np.intp)
-    where = np.repeat(off[:-1] - at[:-1], sizes) + np.arange(at[-1])
-    x[where] = classes("".join(texts))
-    number = np.arange(first[-1]) - np.repeat(first[:-1], windows)
-    start = np.repeat(off[:-1], windows) // STEP + number
+    n, k = int(first[-1]), len(p["bo"])
+    x, flat = np.full(off[-1], _BLANK, dtype=np.intp), classes("".join(texts))
+    for o, a, b in zip(off.tolist(), at.tolist(), at[1:].tolist(), strict=False):
+        x[o : o + b - a] = flat[a:b]
+    start = np.repeat(off[:-1] // STEP - first[:-1], windows) + np.arange(n)
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    total = np.zeros((off[-1], len(p["bo"])), dtype=np.float32)
+    # of each window what lies before the next one begins, and the rest, which both hold
+    own, rest = np.empty((n, STEP, k), dtype=np.float32), np.empty((n, WINDOW - STEP, k), dtype=np.float32)
     seen = _windowed(x)
-    summed = _windowed(total)
-    for turn in (0, 1):  # windows of the same turn do not overlap
-        mine = start[number % 2 == turn]
-        for a in range(0, len(mine), 768):
-            some = mine[a : a + 768]
-            e = emissions(np.ascontiguousarray(seen[some].T), p)
-            summed[some] += e.transpose(1, 0, 2) * weight[:, None]
+    for a in range(0, n, 768):
+        e = emissions(np.ascontiguousarray(seen[start[a : a + 768]].T), p)
+        e *= weight[:, None, None]
+        _turn(e[:STEP], own[a : a + 768])
+        _turn(e[STEP:], rest[a : a + 768])
     # what the windows that hold a character weigh together, by its place
-    place = np.arange(at[-1]) - np.repeat(at[:-1], sizes)
-    w = weight
-    last = np.repeat(windows - 1, sizes)
-    own = np.minimum(place // STEP, last)
-    here = place - own * STEP
-    share = w[here] + np.where((own > 0) & (here < WINDOW - STEP), w[np.minimum(here + STEP, WINDOW - 1)], 0)
-    return total[where] / share[:, None], at
+    follows = np.ones(n, dtype=bool)
+    follows[first[:-1][windows > 0]] = False
+    follows = np.flatnonzero(follows)
+    own[follows, : WINDOW - STEP] += rest[follows - 1]
+    share = np.repeat(weight[None, :STEP], 2, axis=0)
+    share[1, : WINDOW - STEP] += weight[STEP:]
+    one = first[:-1][windows > 0]
+    alone = own[one] / share[0][:, None]
+    own /= share[1][:, None]
+    own[one] = alone
+    parts = [np.zeros((0, k), dtype=np.float32)]
+    for f, w, size in zip(first.tolist(), windows.tolist(), sizes.tolist(), strict=False):
+        if size:
+            parts.append(own[f : f + w].reshape(-1, k)[:size])
+        if size > w * STEP:
+            parts.append(rest[f + w - 1][: size - w * STEP] / weight[STEP : STEP + size - w * STEP, None])
+    return np.concatenate(parts), at
+
+
+def _turn(e: np.ndarray, out: np.ndarray) -> None:
+    """Copies (place, window, tag) to (window, place, tag), a character's scores as one item."""
+    item = np.dtype((np.void, e.shape[2] * e.itemsize))
+    out.view(item)[...] = np.swapaxes(e.view(item), 0, 1)
+
+
+def _outside(lost: np.ndarray, gain: float) -> np.ndarray:
+    """Characters that no run holds whose losses come to at most the gain: the least sum over all
+    runs that hold a character comes from running sums, in linear time."""
+    c = np.zeros(len(lost) + 1)
+    np.cumsum(lost, out=c[1:], dtype=np.float64)
+    before = np.maximum.accumulate(c[:-1])
+    after = np.minimum.accumulate(c[:0:-1])[::-1]
+    return after - before > gain + 1e-6
 
 
 def anchored(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Characters that are outside on every best path.  A run of a tag on a best path beats
     the same run outside, so its evidence must lose less than transitions can gain at its two
-    ends; a character that no such run holds, for any tag, is outside.  The least sum over all
-    runs that hold a character comes from running sums, in linear time."""
-    n, k = score.shape
-    out = np.ones(n, dtype=bool)
+    ends; a character that no such run holds, for any tag, is outside.  First for all tags at
+    once, by runs that take each character's best tag and gain what any tag gains at most; then
+    tag by tag for the rest, in which all other runs lie."""
+    k = score.shape[1]
+    stay = [trans[y, y] - trans[0, 0] for y in range(k)]
+    gain = [0.0] * k
+    best = np.full(len(score), -np.inf)
     for y in range(1, k):
-        stay = trans[y, y] - trans[0, 0]
         others = [a for a in range(k) if a != y]
-        gain = max(0.0, (trans[others, y] - trans[others, 0]).max()) + max(0.0, (trans[y, others] - trans[0, others]).max()) - stay
-        c = np.zeros(n + 1)
-        np.cumsum(score[:, 0] - score[:, y] - stay, out=c[1:], dtype=np.float64)
-        before = np.maximum.accumulate(c[:-1])
-        after = np.minimum.accumulate(c[:0:-1])[::-1]
-        out &= after - before > gain + 1e-6
+        gain[y] = max(0.0, (trans[others, y] - trans[others, 0]).max()) + max(0.0, (trans[y, others] - trans[0, others]).max()) - stay[y]
+        np.maximum(best, score[:, y] + stay[y], out=best)
+    out = _outside(score[:, 0] - best, max(gain))
+    left = ~out
+    left[1:] |= ~out[:-1]  # stretches keep a character between them
+    left = np.flatnonzero(left)
+    rest = score[left]
+    sure = np.ones(len(left), dtype=bool)
+    for y in range(1, k):
+        sure &= _outside(rest[:, 0] - rest[:, y] - stay[y], gain[y])
+    out[left[sure]] = True
     return out
 
 
