@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, map_batches, read_table, texts_of
+from .common import ids_and_texts, keep_freed, map_batches, read_table, texts_of
 from .quality_crf import marginals
 from .textvec import slices
 from .training import documents_sample
@@ -43,6 +43,8 @@ from .training import documents_sample
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, HIDDEN, EPOCHS, BATCH = 128, 96, 16, 14, 64
 TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_LENGTH = 600, 8_000, 3200, 64
+#: Windows computed beside each other: what a step works on stays in a core's cache.
+_TOGETHER = 1024
 #: Nats by which the path with a span must beat the path without it.
 SURE = 2.0
 
@@ -192,39 +194,72 @@ def _states(x: np.ndarray, p: dict, keep: bool = False):
     return np.concatenate([forward, backward[::-1]], axis=2), cf, cb
 
 
-def _plain_states(x: np.ndarray, p: dict, d: str) -> np.ndarray:
-    """What _lstm gives, for class numbers (time, batch), without what training needs: gates lie
-    apart, and the halves of the sigmoids are in the weights."""
+def _quick_tanh() -> bool:
+    """Whether numpy's tanh here is as quick as its exp, which it is with AVX-512 only; without,
+    it takes several times as long."""
+    try:
+        return np.lib.introspect.opt_func_info(func_name="^tanh$", signature="float32")["tanh"]["ff"]["current"].startswith("AVX512")
+    except (AttributeError, KeyError):
+        return False
+
+
+_BY_TANH = _quick_tanh()
+
+
+def _scores(x: np.ndarray, p: dict, d: str, out: np.ndarray, add: bool) -> None:
+    """Writes to out, or adds to it, what the hidden states of one direction weigh for each tag:
+    those that _lstm gives for class numbers (time, batch), without what training needs.  Gates
+    lie apart; signs and factors are in the weights.  By tanh, h is twice the hidden state;
+    without a quick one all is exponentials, c is -2 times the cell, and what overflows is
+    infinite, with its gate or state at the limit."""
     steps, n = x.shape
     kind, size = p["wh" + d].dtype, p["wh" + d].shape[0]
     apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, size).transpose(1, 0, 2))
-    half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], kind), size)
-    wx, wh = apart((p["wx" + d] + p["b" + d]) * half), apart(p["wh" + d] * half * kind.type(0.5))
-    out = np.empty((steps, n, size), kind)  # twice the hidden states
-    h, c = np.zeros((n, size), kind), np.zeros((n, size), kind)
-    z, g, t = np.empty((4, n, size), kind), np.empty((4, n, size), kind), np.empty((n, size), kind)
-    for k in range(steps):
-        np.matmul(h, wh, out=z)
-        np.take(wx, x[k], axis=1, out=g, mode="clip")
-        z += g
-        np.tanh(z, out=z)
-        z[:3] += 1
-        c *= z[1]
-        np.multiply(z[0], z[3], out=t)
-        c += t
-        c *= 0.5
-        np.tanh(c, out=t)
-        h = out[k]
-        np.multiply(t, z[2], out=h)
-    return out
+    scale, twice = np.repeat(np.array([0.5, 0.5, 0.5, 1] if _BY_TANH else [-1, -1, -1, 2], kind), size), kind.type(0.5 if _BY_TANH else 1)
+    wx, wh = apart((p["wx" + d] + p["b" + d]) * scale), apart(p["wh" + d] * scale * twice)
+    wo = (p["wo"][:size] if d == "f" else p["wo"][size:]) * twice
+    h, t, e = np.zeros((n, size), kind), np.empty((n, size), kind), np.empty((n, wo.shape[1]), kind)
+    z, g, s = np.empty((4, n, size), kind), np.empty((4, n, size), kind), np.zeros((2, n, size), kind)
+    sigmoids, o, (u, c) = z[:3], z[2], s
+    half, one, two, four = (np.array(v, kind) for v in (0.5, 1, 2, 4))  # arrays, which cost less a call
+    with np.errstate(over="ignore"):
+        for k in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.matmul(h, wh, z)
+            wx.take(x[k], 1, g, "clip")
+            np.add(z, g, z)
+            if _BY_TANH:
+                np.tanh(z, z)
+                np.add(sigmoids, one, sigmoids)
+                np.multiply(c, z[1], c)
+                np.multiply(z[0], z[3], u)
+                np.add(c, u, c)
+                np.multiply(c, half, c)
+                np.tanh(c, t)
+                np.multiply(t, o, h)
+            else:
+                np.exp(z, z)
+                np.add(z, one, z)
+                np.divide(four, z[3], u)  # 4 / (1 + exp 2a) - 2 is -2 tanh a
+                np.subtract(u, two, u)
+                np.divide(s, z[:2], s)
+                np.add(c, u, c)
+                np.exp(c, t)
+                np.add(t, one, t)
+                np.divide(two, t, t)
+                np.subtract(t, one, t)
+                np.divide(t, o, h)
+            if add:
+                np.matmul(h, wo, e)
+                np.add(out[k], e, out[k])
+            else:
+                np.matmul(h, wo, out[k])
 
 
 def emissions(x: np.ndarray, p: dict) -> np.ndarray:
     """(time, batch, tag) scores of windows of class numbers (time, batch)."""
-    wo = p["wo"] * p["wo"].dtype.type(0.5)
-    size = len(wo) // 2
-    out = _plain_states(x, p, "f") @ wo[:size]
-    out += (_plain_states(np.ascontiguousarray(x[::-1]), p, "b") @ wo[size:])[::-1]
+    out = np.empty((*x.shape, len(p["bo"])), p["wo"].dtype)
+    _scores(x, p, "f", out, add=False)
+    _scores(x, p, "b", out, add=True)
     flat = out.reshape(len(x), -1)
     flat += np.tile(p["bo"], x.shape[1])
     return out
@@ -449,11 +484,12 @@ def evidence(texts: list[str], p: dict) -> tuple[np.ndarray, np.ndarray]:
     # of each window what lies before the next one begins, and the rest, which both hold
     own, rest = np.empty((n, STEP, k), dtype=np.float32), np.empty((n, WINDOW - STEP, k), dtype=np.float32)
     seen = _windowed(x)
-    for a in range(0, n, 768):
-        e = emissions(np.ascontiguousarray(seen[start[a : a + 768]].T), p)
+    some = -(-n // max(1, -(-n // _TOGETHER))) or 1  # of each turn, about the same
+    for a in range(0, n, some):
+        e = emissions(np.ascontiguousarray(seen[start[a : a + some]].T), p)
         e *= weight[:, None, None]
-        _turn(e[:STEP], own[a : a + 768])
-        _turn(e[STEP:], rest[a : a + 768])
+        _turn(e[:STEP], own[a : a + some])
+        _turn(e[STEP:], rest[a : a + some])
     # what the windows that hold a character weigh together, by its place
     follows = np.ones(n, dtype=bool)
     follows[first[:-1][windows > 0]] = False
@@ -610,6 +646,7 @@ def scan(docs: DataFrame, model: dict | None) -> DataFrame:
     """One row for every row of docs: counts and digest of the base spans, and all spans."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep_freed()
         cols: dict[str, list] = {c: [] for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_model")}
         for base, every in all_spans(texts_of(batch), model):
             for k in KINDS:
